@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ._common import as_bytes
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean"
+MOST_BROADCAST = 10_000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -157,6 +158,8 @@ def training_sample(docs: DataFrame, per_language: int) -> DataFrame:
     counts = rows.groupBy("lang").agg(F.count("*").alias("seen"))
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("seen"))
     picked = counts.select(F.col("lang").alias("picked_lang"), (share * F.lit(float(1 << 30))).alias("under"))
+    few = counts.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    picked = F.broadcast(picked) if few else picked
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     return rows.join(picked, (F.col("lang") == F.col("picked_lang")) & (draw < F.col("under"))).select("doc_id", "text", "lang")
 
