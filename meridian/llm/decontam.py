@@ -12,7 +12,9 @@ there to `least_overlap`, and both its question part and its answer part (the la
 Items are searched in blocks of at most `items_at_once`, each broadcast alone, so a larger benchmark means more
 passes, not more memory.
 
-Defined results: null or empty texts and items match nothing; an item of fewer than five words must occur as a whole;
+Words are compared in lower case and without ASCII punctuation, so a passage set into a sentence still matches.
+
+Defined results: null or empty texts and items, and those without words, match nothing; an item of fewer than five words must occur as a whole;
 repeated rows and items are reported once each per (doc_id, item_id); empty tables give an empty result; other columns are ignored.
 """
 
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 from ._common import as_bytes, mix64, slabs, word_hashes
 
 SCHEMA = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
-_SENTENCE = re.compile(rb"(?<=[.!?])\s+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+# ASCII punctuation separates words
+_PLAIN = bytes(b if b >= 128 or chr(b).isalnum() or b in (9, 10, 11, 12, 13) else 32 for b in range(256))
 
 
 @dataclass
@@ -74,6 +78,11 @@ class Index:
         return self.kept[threshold]
 
 
+def plain(texts) -> list[bytes]:
+    """UTF-8 of each text in lower case, ASCII punctuation blanked; null is empty."""
+    return [t.translate(_PLAIN) for t in as_bytes([t.lower() if t else t for t in texts])]
+
+
 def _shingles(h: np.ndarray, n: int = 5) -> np.ndarray:
     if not len(h):
         return np.zeros(0, np.uint64)
@@ -85,9 +94,9 @@ def _shingles(h: np.ndarray, n: int = 5) -> np.ndarray:
 
 
 def build(items: list[tuple[int, str]], width: int = 8, stride: int = 64, k1: float = 1.2, b: float = 0.75) -> Index:
-    """Index the items' words (lower case). Impacts are divided by the item's best possible score."""
-    items = [(i, t.lower()) for i, t in items if isinstance(t, str) and t.strip()]
-    texts = as_bytes([t for _, t in items])
+    """Index the items' words (lower case, without punctuation). Impacts are divided by the item's best possible score."""
+    items = [(i, t) for i, t in items if isinstance(t, str) and plain([t])[0].split()]
+    texts = plain([t for _, t in items])
     h, at = word_hashes(texts)
     sizes = np.diff(at)
     owner = np.repeat(np.arange(len(items)), sizes)
@@ -101,10 +110,10 @@ def build(items: list[tuple[int, str]], width: int = 8, stride: int = 64, k1: fl
     impact = impact / np.maximum(best[item], 1e-12)
     post_at = np.concatenate([[0], np.cumsum(df)])
     shingles, question, answer = [], [], []
-    for k, t in enumerate(texts):
+    for k, (_, t) in enumerate(items):
         words = h[at[k] : at[k + 1]]
-        parts = _SENTENCE.split(t.strip())
-        tail = len(parts[-1].split()) if len(parts) > 1 else max(1, len(words) // 4)
+        parts = [n for x in plain(_SENTENCE.split(t.strip())) if (n := len(x.split()))]
+        tail = parts[-1] if len(parts) > 1 else max(1, len(words) // 4)
         shingles.append(_shingles(words))
         question.append(_shingles(words[: len(words) - tail]))
         answer.append(np.unique(words[len(words) - tail :]))
@@ -220,7 +229,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, least_ov
         def run(batches, index=index):
             for b in batches:
                 ids = b.column("doc_id")
-                texts = as_bytes([t.lower() if t else t for t in b.column("text").to_pylist()])
+                texts = plain(b.column("text").to_pylist())
                 rows = []
                 for lo, hi in slabs(texts):
                     rows += [(ids[lo + d].as_py(), *rest) for d, *rest in matches(index.value, texts[lo:hi], threshold, least_overlap, least_part)]
@@ -238,7 +247,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, le
 
         def run(batches, index=index):
             for b in batches:
-                texts = as_bytes([t.lower() if t else t for t in b.column("text").to_pylist()])
+                texts = plain(b.column("text").to_pylist())
                 bad = set()
                 for lo, hi in slabs(texts):
                     bad |= {lo + m[0] for m in matches(index.value, texts[lo:hi], threshold, least_overlap, least_part)}

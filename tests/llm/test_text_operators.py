@@ -237,6 +237,15 @@ def test_decontamination_finds_planted_passages(spark, local):
     assert decontam.find(df, items.limit(0)).count() == 0 and decontam.find(df.limit(0), items).count() == 0
 
 
+def test_decontamination_ignores_case_and_punctuation(spark):
+    item = "Where does the river bend twice before it meets the old mill road? It bends near Alder Ford."
+    plain = "where does the river bend twice before it meets the old mill road it bends near alder ford"
+    rows = [(1, f'she asked: "{item}", and left'), (2, f"x {plain} y"), (3, item.replace(" ", ", ")), (4, "where the river bends, she asked, is the old mill road"), (5, "?!"), (6, "...")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "?!"), (3, "...")], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontam.find(df, items).collect()) == [(1, 1), (2, 1), (3, 1)]
+
+
 def test_block_max_search_is_exhaustive(spark, local):
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     index = decontam.build(bench)
