@@ -6,6 +6,7 @@ import os
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,7 +110,15 @@ def shingle_hashes(texts: list[bytes], words: int = 5) -> tuple[np.ndarray, np.n
     return mix64(out), offsets
 
 
-def slabs(texts: list[bytes], size: int = 2 << 20):
+def small(batches, rows: int = 512):
+    """All rows of the Arrow batches in order, at most `rows` at a time, so that a worker's copies of texts stay few. Freed memory goes back at the end."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()
+
+
+def slabs(texts: list[bytes], size: int = 512 << 10):
     """Ranges of texts of about `size` bytes together; a longer text comes alone, whole."""
     start = used = 0
     for i, t in enumerate(texts):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, mix64, slabs, word_hashes
+from ._common import as_bytes, mix64, slabs, small, word_hashes
 
 SCHEMA = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -227,7 +227,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, least_ov
     for index in _indexes(spark, benchmark, items_at_once):
 
         def run(batches, index=index):
-            for b in batches:
+            for b in small(batches):
                 ids = b.column("doc_id")
                 texts = plain(b.column("text").to_pylist())
                 rows = []
@@ -246,7 +246,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, le
     for index in _indexes(docs.sparkSession, benchmark, items_at_once):
 
         def run(batches, index=index):
-            for b in batches:
+            for b in small(batches):
                 texts = plain(b.column("text").to_pylist())
                 bad = set()
                 for lo, hi in slabs(texts):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, durable, mix64, shingle_hashes, slabs
+from ._common import as_bytes, durable, mix64, shingle_hashes, slabs, small
 
 TREES, DEPTH, SPARE = 20, 6, 8
 BINS = TREES * DEPTH + SPARE
@@ -99,7 +99,7 @@ def least_label(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _sign(depth: int):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = as_bytes(batch.column("text").to_pylist())
             keys = batch.column("key").cast(pa.binary())
             for lo, hi in slabs(texts):
@@ -118,11 +118,12 @@ def _sign(depth: int):
 def _groups(batches, names):
     """Whole groups of equal leading columns from sorted Arrow batches; consecutive whole groups come together."""
     held = []
-    rows = 0
+    rows = size = 0
     for b in batches:
         held.append(pa.Table.from_batches([b]))
         rows += b.num_rows
-        if rows < 20_000:
+        size += b.nbytes
+        if rows < 20_000 and size < 16 << 20:
             continue
         t = pa.concat_tables(held)
         ids = [t.column(c).combine_chunks() for c in names]
@@ -133,7 +134,9 @@ def _groups(batches, names):
             cut -= 1
         if cut:
             yield t.slice(0, cut)
-        held, rows = [t.slice(cut)], 0 if cut else rows
+        held = [t.slice(cut)]
+        if cut:
+            rows = size = 0
     if held:
         t = pa.concat_tables(held)
         if t.num_rows:
@@ -205,7 +208,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def _sets(batches):
-    for batch in batches:
+    for batch in small(batches):
         texts = as_bytes(batch.column("text").to_pylist())
         for lo, hi in slabs(texts):
             hashes, at = shingle_hashes(texts[lo:hi])
