@@ -7,13 +7,15 @@ import hashlib
 import json
 import urllib.error
 import urllib.request
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys
 from . import objects
+from .jobs import JobError, JobService
+from .registry import Registry
 
 MANIFESTS = "schema string, url string, etag string, last_modified string, sha256_content string, bytes long, fetched_at string, source_loader string, auth_realm string"
 
@@ -34,23 +36,57 @@ class IntegrityError(ValueError):
     """A cached object is not what its manifest says."""
 
 
-def transport(url: str, headers: dict) -> tuple[str, bytes | None]:
-    """("ok" | "absent" | "unknown", bytes)."""
-    scheme = url.partition("://")[0].lower()
-    if scheme not in ("http", "https"):
-        base, _, key = url.rpartition("/")
-        try:
-            got = objects.get(base, key)
-        except OSError:
-            return "unknown", None
-        return ("ok", got) if got is not None else ("absent", None)
+@dataclass(frozen=True)
+class Fetched:
+    """status: "ok", "not_modified", "absent" (surely) or "unknown"; validators are those the server gave."""
+
+    status: str
+    data: bytes | None = None
+    etag: str | None = None
+    last_modified: str | None = None
+
+
+def over_http(url: str, headers: dict, known: dict) -> Fetched:
+    """GET; with known validators a conditional one."""
+    asks = {"If-None-Match": known.get("etag"), "If-Modified-Since": known.get("last_modified")}
+    sent = headers | {k: v for k, v in asks.items() if v}
     try:
-        with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=600) as r:
-            return "ok", r.read()
+        with urllib.request.urlopen(urllib.request.Request(url, headers=sent), timeout=600) as r:
+            return Fetched("ok", r.read(), r.headers.get("ETag"), r.headers.get("Last-Modified"))
     except urllib.error.HTTPError as e:
-        return ("absent" if e.code in (404, 410) else "unknown"), None
+        if e.code == 304 and any(asks.values()):
+            return Fetched("not_modified", None, e.headers.get("ETag") or asks["If-None-Match"], e.headers.get("Last-Modified") or asks["If-Modified-Since"])
+        return Fetched("absent" if e.code in (404, 410) else "unknown")
+    except OSError:
+        return Fetched("unknown")
+
+
+def over_store(url: str, headers: dict, known: dict) -> Fetched:
+    """Files and object stores; these have no conditional read."""
+    base, _, key = url.rpartition("/")
+    try:
+        got = objects.get(base, key)
     except OSError:
-        return "unknown", None
+        return Fetched("unknown")
+    return Fetched("absent") if got is None else Fetched("ok", got)
+
+
+def over_jobs(url: str, headers: dict, known: dict) -> Fetched:
+    """A job service with its default settings; register another `jobs.JobService` through `by_service`."""
+    return by_service(JobService(headers=headers))(url, headers, known)
+
+
+def by_service(service: JobService):
+    def get(url: str, headers: dict, known: dict) -> Fetched:
+        try:
+            return Fetched("ok", service.retrieve(url))
+        except JobError:
+            return Fetched("unknown")
+
+    return get
+
+
+TRANSPORTS = Registry("transport", http=over_http, https=over_http, file=over_store, s3=over_store, gs=over_store, hdfs=over_store, cds=over_jobs)
 
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:
@@ -64,47 +100,68 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
     return got.withColumn("key", keys.cache_key(F.col("url")))
 
 
-def fetch(urls: DataFrame, root: str, offline: bool = False, headers: dict | None = None, realm: str | None = None) -> DataFrame:
-    """Bring every url (column url, optional column mirrors array<string>) into the cache; returns (key, url, status, path).
+OPTIONAL = {"mirrors": "array<string>", "expected_sha": "string", "immutable": "boolean", "ttl_seconds": "long"}
+
 
-    Keys that have a manifest are hits and are not asked for; each other key is fetched by exactly one task, from its
-    mirrors in order. Offline, missing keys raise CacheMiss.
+def fetch(urls: DataFrame, root: str, offline: bool = False, headers: dict | None = None, realm: str | None = None, transports: dict | None = None) -> DataFrame:
+    """Bring every url into the cache; returns (key, url, status, path) with status hit, not_modified or downloaded.
+
+    Beside `url`, `urls` may have the columns of OPTIONAL; an address counts as immutable unless it says otherwise. What is held
+    is judged by `keys.freshness`: hits are not asked for; objects with validators are asked for conditionally; the rest is
+    fetched, from the address or its mirrors in order, by exactly one task a key. A validator whose object is gone is not
+    trusted: the object is fetched again. A digest other than the expected one raises IntegrityError and nothing is stored.
+    Offline, what is held (with or without a manifest) is a hit and missing keys raise CacheMiss.
     """
     spark = urls.sparkSession
-    with_mirrors = urls if "mirrors" in urls.columns else urls.withColumn("mirrors", F.array().cast("array<string>"))
-    asked = with_mirrors.withColumn("key", keys.cache_key(F.col("url"))).dropDuplicates(["key"])
-    held = manifests(spark, root).select("key").distinct()
-    missing = asked.join(held, "key", "left_anti")
+    for name, kind in OPTIONAL.items():
+        if name not in urls.columns:
+            urls = urls.withColumn(name, F.lit(None).cast(kind))
     path = keys.blob_path(F.col("key"), keys.ext_of(F.col("url")))
-    hits = asked.join(held, "key", "left_semi").select("key", "url", F.lit("hit").alias("status"), path.alias("path"))
-    if offline:
-        some = missing.select("url", "key").limit(5).collect()
-        if some:
-            raise CacheMiss(", ".join(f"{r['url']} ({r['key']})" for r in some))
-        return hits
+    asked = urls.select("url", *OPTIONAL).withColumn("key", keys.cache_key(F.col("url"))).withColumn("path", path).dropDuplicates(["key"])
+    held = manifests(spark, root).select("key", "etag", "last_modified", "sha256_content", F.try_to_timestamp("fetched_at").alias("fetched")).dropDuplicates(["key"])
+    known = F.coalesce("etag", "last_modified").isNotNull()
+    verdict = keys.freshness(F.coalesce("immutable", F.lit(True)), F.col("expected_sha"), F.col("sha256_content"), known, F.col("fetched"), F.col("ttl_seconds"), F.current_timestamp())
+    judged = asked.join(held, "key", "left").withColumn("verdict", F.when(F.col("sha256_content").isNotNull(), F.lit("hit")).otherwise(F.lit("miss")) if offline else verdict)
+    hits = judged.where("verdict = 'hit'").select("key", "url", F.lit("hit").alias("status"), "path")
+    missing = judged.where("verdict <> 'hit'").select("key", "url", "mirrors", "path", "expected_sha", "sha256_content", "etag", "last_modified", "verdict")
+    served = TRANSPORTS.implemented() | (transports or {})
+
+    def bring(r) -> str:
+        outcomes = []
+        for k, candidate in enumerate([r.url, *(r.mirrors if r.mirrors is not None else [])]):
+            ask = served.get(candidate.partition("://")[0].lower(), over_store)
+            validators = {n: v for n in ("etag", "last_modified") if isinstance(v := getattr(r, n), str)}
+            mine = validators if k == 0 and r.verdict == "revalidate" and objects.exists(root, r.path) else {}
+            got = ask(candidate, headers or {}, mine)
+            outcomes.append(got.status)
+            if got.status in ("ok", "not_modified"):
+                break
+        else:
+            raise FetchError(f"{r.url}: {outcomes}", all(o == "absent" for o in outcomes))
+        if got.status == "ok":
+            sha = hashlib.sha256(got.data).hexdigest()
+            if isinstance(r.expected_sha, str) and sha != r.expected_sha.lower():
+                raise IntegrityError(f"{r.url}: digest {sha}, expected {r.expected_sha}")
+            objects.put(root, r.path, got.data)
+            size = len(got.data)
+        else:
+            sha, size = r.sha256_content, objects.size(root, r.path)
+        now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+        record = {"schema": "manifest/v1", "url": r.url, "etag": got.etag, "last_modified": got.last_modified, "sha256_content": sha, "bytes": size, "fetched_at": now, "source_loader": None, "auth_realm": realm}
+        objects.put(root, f"meta/{r.key}.json", json.dumps(record, sort_keys=True).encode())
+        return "downloaded" if got.status == "ok" else got.status
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for key, url, mirrors, path_ in zip(pdf["key"], pdf["url"], pdf["mirrors"], pdf["path"]):
-                outcomes = []
-                for candidate in [url, *mirrors]:
-                    status, data = transport(candidate, headers or {})
-                    outcomes.append(status)
-                    if status == "ok":
-                        break
-                if outcomes[-1] != "ok":
-                    raise FetchError(f"{url}: {outcomes}", all(o == "absent" for o in outcomes))
-                objects.put(root, path_, data)
-                now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-                record = {"schema": "manifest/v1", "url": url, "etag": None, "last_modified": None, "sha256_content": hashlib.sha256(data).hexdigest(), "bytes": len(data), "fetched_at": now, "source_loader": None, "auth_realm": realm}
-                objects.put(root, f"meta/{key}.json", json.dumps(record, sort_keys=True).encode())
-                rows.append((key, url, "downloaded", path_))
-            yield pd.DataFrame(rows, columns=["key", "url", "status", "path"])
-
-    loaded = missing.withColumn("path", path).repartition("key").mapInPandas(run, "key string, url string, status string, path string")
+            did = [(("hit" if objects.exists(root, r.path) else "miss") if offline else bring(r)) for r in pdf.itertuples(index=False)]
+            yield pdf[["key", "url"]].assign(status=did, path=pdf["path"])
+
+    loaded = missing.repartition("key").mapInPandas(run, "key string, url string, status string, path string")
     out = hits.unionByName(loaded)
-    return spark.createDataFrame(out.collect(), out.schema)  # one row an object asked for: the job runs once, here
+    rows = out.collect()  # one row an object asked for: the job runs once, here
+    if lost := [f"{r['url']} ({r['key']})" for r in rows if r["status"] == "miss"]:
+        raise CacheMiss(", ".join(lost[:5]))
+    return spark.createDataFrame(rows, out.schema)
 
 
 def verify(spark: SparkSession, root: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Chunk codecs: the blosc container (byte shuffle; lz4, zstd, zlib inside), zstd, gzip, zlib, crc32c. Pure numpy and library calls."""
+"""Chunk codecs: the blosc container (byte and bit shuffle; lz4, zstd, zlib inside), zstd, gzip, zlib, crc32c. Pure numpy and library calls."""
 
 from __future__ import annotations
 
@@ -38,11 +38,26 @@ def shuffle(raw: bytes, width: int) -> bytes:
     return np.frombuffer(raw[: n * width], np.uint8).reshape(n, width).T.tobytes() + raw[n * width :]
 
 
+def unshuffle_bits(raw: bytes, width: int) -> bytes:
+    """Undo a bit shuffle. It moves whole groups of eight elements only; other blocks are stored as they are."""
+    n = len(raw) // width
+    if not n or n % 8:
+        return raw
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8, n * width), bitorder="little").reshape(width * 8, n)
+    return np.packbits(bits.T, bitorder="little").tobytes() + raw[n * width :]
+
+
+def shuffle_bits(raw: bytes, width: int) -> bytes:
+    n = len(raw) // width
+    if not n or n % 8:
+        return raw
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8, n * width), bitorder="little").reshape(n, width * 8)
+    return np.packbits(bits.T, bitorder="little").tobytes() + raw[n * width :]
+
+
 def blosc_decode(raw: bytes) -> bytes:
     """A blosc 1 frame: 16-byte header, block offsets, per block one stream or one per byte of the type."""
     _, _, flags, width, size, block, total = struct.unpack("<BBBBIII", raw[:16])
-    if flags & 4:
-        raise Unsupported("blosc bit shuffle")
     if flags & 2:  # stored as it is
         return raw[16 : 16 + size]
     if not size:
@@ -62,6 +77,8 @@ def blosc_decode(raw: bytes) -> bytes:
             parts.append(piece if n == want else _inner(kind, piece, want))
             at += 4 + n
         data = b"".join(parts)
+        if flags & 4:
+            data = unshuffle_bits(data, width)
         out.append(unshuffle(data, width) if flags & 1 and width > 1 else data)
     return b"".join(out)
 

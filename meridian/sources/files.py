@@ -1,6 +1,6 @@
 """Whole-file formats over Spark's own binary reader, so any store Spark reads will do; one task decodes one file.
 
-netcdf (classic CDF-1 and CDF-2), geotiff (none, deflate, LZW; strips or tiles), shapefile (bare or in a zip), ff10 (bare or in
+netcdf (classic CDF-1 and CDF-2), geotiff (classic and big; none, deflate, LZW; strips or tiles), shapefile (bare or in a zip), ff10 (bare or in
 a zip), csv and json points. Cell form: one row per cell with <dim>_idx, coordinate columns and values.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .codecs import Unsupported
+from .registry import Registry
 
 # netcdf --------------------------------------------------------------------------------------------------------
 
@@ -164,17 +165,21 @@ def _lzw(raw: bytes) -> bytes:
 def read_tiff(raw: bytes):
     """(bands x rows x columns, x centres, y centres, projected); the file's missing value becomes NaN."""
     end = {b"II": "<", b"MM": ">"}[raw[:2]]
-    if struct.unpack_from(end + "H", raw, 2)[0] != 42:
-        raise Unsupported("BigTIFF")
-    at = struct.unpack_from(end + "I", raw, 4)[0]
+    magic = struct.unpack_from(end + "H", raw, 2)[0]
+    if magic not in (42, 43):
+        raise ValueError("not a TIFF file")
+    # BigTIFF (43) has wider offsets, counts and entries
+    word, number, room = ("Q", "Q", 8) if magic == 43 else ("I", "H", 4)
+    at = struct.unpack_from(end + word, raw, room)[0]
+    first, entry = at + struct.calcsize(number), 4 + 2 * room
     tags = {}
-    for k in range(struct.unpack_from(end + "H", raw, at)[0]):
-        tag, kind, n = struct.unpack_from(end + "HHI", raw, at + 2 + 12 * k)
+    for k in range(struct.unpack_from(end + number, raw, at)[0]):
+        tag, kind, n = struct.unpack_from(end + "HH" + word, raw, first + entry * k)
         form = _TIFF_SIZES[kind]
         size = struct.calcsize(end + form) * n
-        spot = at + 2 + 12 * k + 8
-        if size > 4:
-            spot = struct.unpack_from(end + "I", raw, spot)[0]
+        spot = first + entry * k + 4 + room
+        if size > room:
+            spot = struct.unpack_from(end + word, raw, spot)[0]
         tags[tag] = raw[spot : spot + size] if kind == 2 else struct.unpack_from(end + form * n, raw, spot)
     width, height = tags[256][0], tags[257][0]
     bands, bits, how = tags.get(277, (1,))[0], tags.get(258, (1,))[0], tags.get(259, (1,))[0]
@@ -446,4 +451,4 @@ def json_points(spark: SparkSession, path, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-FORMATS = {"netcdf": netcdf, "geotiff": geotiff, "shapefile": shapefile, "ff10": ff10, "csv": csv_points, "json": json_points}
+FORMATS = Registry("format", netcdf=netcdf, geotiff=geotiff, shapefile=shapefile, ff10=ff10, csv=csv_points, json=json_points)

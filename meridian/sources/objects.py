@@ -27,6 +27,17 @@ def get(base: str, key: str) -> bytes | None:
         return None
 
 
+def size(base: str, key: str) -> int | None:
+    """The object's size in bytes; None if it is not there."""
+    system, root = open_base(base)
+    info = system.get_file_info(f"{root}/{key}")
+    return info.size if info.type == fs.FileType.File else None
+
+
+def exists(base: str, key: str) -> bool:
+    return size(base, key) is not None
+
+
 def get_range(base: str, key: str, start: int, size: int) -> bytes:
     system, root = open_base(base)
     with system.open_input_file(f"{root}/{key}") as f:

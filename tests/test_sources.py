@@ -1,11 +1,14 @@
 """Readers, sink, cache, provider and tick stream on fixtures built here."""
 
 import datetime
+import hashlib
+import http.server
 import io
 import itertools
 import json
 import math
 import struct
+import threading
 import zipfile
 
 import numpy as np
@@ -13,7 +16,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridian.plans.provider import Cadence, Provider, Source
-from meridian.sources import cache, codecs, files, objects
+from meridian.sources import cache, codecs, files, jobs, objects
+from meridian.sources.registry import Registry
 from meridian.sources.zarr import ZarrSource
 from meridian.sources.zarr_sink import OutputSchema, OutputVar, sink, write
 
@@ -155,6 +159,18 @@ def test_geotiff(spark, tmp_path):
     assert got[0]["lat"] == 39.75 and got[0]["lon"] == -121.25 and got[11]["Band1"] == 11.0 and math.isnan(got[5]["Band1"])
 
 
+def test_big_tiff():
+    data = np.arange(6, dtype="<u2").reshape(2, 3)
+    tags = [(256, 3, 1, 3), (257, 3, 1, 2), (258, 3, 1, 16), (259, 3, 1, 1), (273, 16, 1, 16), (277, 3, 1, 1), (278, 3, 1, 2), (279, 16, 1, 12), (33550, 12, 3, 32), (33922, 12, 6, 56)]
+    geo = struct.pack("<3d", 2, 1, 0) + struct.pack("<6d", 0, 0, 0, 10, 50, 0)
+    ifd = struct.pack("<Q", len(tags)) + b"".join(struct.pack("<HHQQ", *t) for t in tags) + bytes(8)
+    raw = b"II" + struct.pack("<HHHQ", 43, 8, 0, 104) + data.tobytes() + bytes(4) + geo + ifd
+    bands, x, y, projected = files.read_tiff(raw)
+    assert bands[0].tolist() == data.tolist() and x.tolist() == [11, 13, 15] and y.tolist() == [49.5, 48.5] and not projected
+    with pytest.raises(ValueError):
+        files.read_tiff(b"II" + struct.pack("<H", 44) + raw[4:])
+
+
 def shape_zip(member="layer/p"):
     square = [(0, 0), (0, 2), (2, 2), (2, 0), (0, 0)]
     island = [(5, 5), (6, 5), (5, 6), (5, 5)]
@@ -240,6 +256,126 @@ def test_mirrors_are_tried_in_order(spark, tmp_path):
     assert cache.fetch(urls, str(tmp_path / "c")).first()["status"] == "downloaded"
 
 
+@pytest.fixture()
+def server():
+    """A server with one tagged object and a job service; it notes what it is asked."""
+    asked, state = [], {"body": b"one", "tag": '"1"', "polls": 0}
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def log_message(self, *args):
+            pass
+
+        def answer(self, code, body=b"", **headers):
+            self.send_response(code)
+            for k, v in headers.items():
+                self.send_header(k, v)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def do_GET(self):
+            asked.append((self.path, self.headers.get("If-None-Match"), self.headers.get("PRIVATE-TOKEN")))
+            if self.path == "/o.bin":
+                if self.headers.get("If-None-Match") == state["tag"]:
+                    return self.answer(304)
+                return self.answer(200, state["body"], ETag=state["tag"])
+            if self.path.endswith("/jobs/7"):
+                state["polls"] += 1
+                return self.answer(200, json.dumps({"status": "successful" if state["polls"] > 1 else "running"}).encode())
+            if self.path.endswith("/jobs/7/results"):
+                return self.answer(200, json.dumps({"asset": {"value": {"href": f"http://127.0.0.1:{self.server.server_port}/made"}}}).encode())
+            return self.answer(200, b"made") if self.path == "/made" else self.answer(404)
+
+        def do_POST(self):
+            asked.append((self.path, None, self.headers.get("PRIVATE-TOKEN")))
+            state["inputs"] = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            good = self.path.endswith("/processes/era/execution")
+            self.answer(201 if good else 400, json.dumps({"status": "accepted", "jobID": "7"}).encode())
+
+    httpd = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=httpd.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{httpd.server_port}", asked, state
+    httpd.shutdown()
+    httpd.server_close()
+
+
+def test_conditional_requests(spark, tmp_path, server):
+    base, asked, state = server
+    root = str(tmp_path / "cache")
+    fixed = spark.createDataFrame([(f"{base}/o.bin",)], "url string")
+    changing = fixed.withColumn("immutable", F.lit(False))
+    status = lambda urls: cache.fetch(urls, root).first()["status"]
+    assert status(changing) == "downloaded" and cache.manifests(spark, root).first()["etag"] == '"1"'
+    assert status(fixed) == "hit" and len(asked) == 1
+    assert status(changing) == "not_modified" and asked[-1][1] == '"1"'
+    cache.check(spark, root)
+    state.update(body=b"two!", tag='"2"')
+    assert status(changing) == "downloaded"
+    cache.check(spark, root)
+    next((tmp_path / "cache" / "blobs").rglob("*.bin")).unlink()
+    assert status(changing) == "downloaded" and asked[-1][1] is None  # validators of a lost object are not used
+    sha = hashlib.sha256(b"two!").hexdigest()
+    assert status(fixed.withColumn("expected_sha", F.lit(sha))) == "hit"
+    with pytest.raises(Exception, match="expected 00"):
+        cache.fetch(fixed.withColumn("expected_sha", F.lit("00")), root)
+    with pytest.raises(Exception, match="absent"):
+        cache.fetch(spark.createDataFrame([(f"{base}/none",)], "url string"), root)
+    next((tmp_path / "cache" / "meta").glob("*.json")).unlink()
+    assert cache.fetch(fixed, root, offline=True).first()["status"] == "hit"  # held without a manifest
+
+
+def test_job_service(spark, tmp_path, server, monkeypatch):
+    base, asked, state = server
+    url = jobs.encode("era", {"b": [1, 2], "a": {"d": "x", "c": None}})
+    assert url == 'cds://era?{"a":{"c":null,"d":"x"},"b":[1,2]}' and jobs.decode(url) == ("era", {"b": [1, 2], "a": {"d": "x", "c": None}})
+    for bad in ("http://era?{}", "cds://era", "cds://?{}", "cds://era?[1]", "cds://era?{"):
+        with pytest.raises(ValueError):
+            jobs.decode(bad)
+    service = jobs.JobService(base, {"PRIVATE-TOKEN": "k"}, poll_seconds=0.01)
+    got = cache.fetch(spark.createDataFrame([(url,)], "url string"), str(tmp_path / "c"), transports={"cds": cache.by_service(service)}).first()
+    assert got["status"] == "downloaded" and (tmp_path / "c" / got["path"]).read_bytes() == b"made"
+    assert state["inputs"] == {"inputs": jobs.decode(url)[1]} and state["polls"] == 2
+    assert [token for path, _, token in asked if path != "/made"] == ["k"] * 4 and asked[-1] == ("/made", None, None)
+    assert "k" not in {v for r in cache.manifests(spark, str(tmp_path / "c")).collect() for v in r}
+    with pytest.raises(jobs.JobError):
+        service.submit("other", {})
+    for name in ("CDSAPI_URL", "CDSAPI_KEY"):
+        monkeypatch.delenv(name, raising=False)
+    assert jobs.settings(tmp_path) == {"url": jobs.API}
+    (tmp_path / ".cdsapirc").write_text("url: https://h/api/\nkey: one\nkey: two\n")
+    assert jobs.settings(tmp_path) == {"url": "https://h/api", "key": "one"}
+    monkeypatch.setenv("CDSAPI_KEY", "three")
+    assert jobs.settings(tmp_path)["key"] == "three"
+
+
+def test_registry_refuses_conflicts():
+    r = Registry("format", a=len)
+    r.register("a", len)
+    r.register("later", status="stub", note="Not yet.")
+    assert list(r) == ["a", "later"] and r["a"] is len and [d["status"] for d in r.describe()] == ["implemented", "stub"] and list(r.implemented()) == ["a"]
+    with pytest.raises(ValueError):
+        r.register("a", max)
+    with pytest.raises(ValueError):
+        r.register("b", max, status="maybe")
+    with pytest.raises(codecs.Unsupported, match="Not yet"):
+        r["later"]
+    with pytest.raises(KeyError):
+        r["none"]
+
+
+def test_bit_shuffle():
+    assert codecs.shuffle_bits(bytes([3, 1, 0, 0, 0, 0, 0, 128]), 1) == bytes([3, 1, 0, 0, 0, 0, 0, 128])
+    assert codecs.shuffle_bits(bytes([1, 2, 0, 0, 0, 0, 0, 1]), 1) == bytes([129, 2, 0, 0, 0, 0, 0, 0])
+    raw = np.random.default_rng(1).integers(0, 2**40, 1000).astype("<i8").tobytes()
+    for width in (1, 2, 8):
+        assert codecs.unshuffle_bits(codecs.shuffle_bits(raw, width), width) == raw
+    import zstandard
+
+    body = zstandard.ZstdCompressor().compress(codecs.shuffle_bits(raw, 8))
+    frame = struct.pack("<BBBBIIIIi", 2, 1, 0x80 | 0x10 | 4, 8, len(raw), len(raw), len(body) + 24, 20, len(body)) + body
+    assert codecs.blosc_decode(frame) == raw
+
+
 def test_provider(spark, tmp_path):
     for day in (1, 2):
         (tmp_path / f"f202401{day:02d}.csv").write_text(f"v\n{day}\n")
