@@ -37,6 +37,8 @@ _PATTERN = re.compile(
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<!\w)\+\d{8,15}(?!\w))"
     r"|(?<!\w)(?P<title>" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.?[  ](?P<person>[^\W\d_]+(?:[-'][^\W\d_]+)*(?: [^\W\d_]+)?)"
 )
+# Country codes of two digits; 1 and 7 are codes of one digit, all others have three.
+_TWO = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _QUICK = re.compile(r"[@\d]|\b(?:" + "|".join(TITLES) + r")\b")
 _LATIN = ("bcdfghklmnprstvz", "aeiou")
 
@@ -100,13 +102,19 @@ def canonical(kind: str, value: str) -> str:
     return value
 
 
+def country_code(number: str) -> str:
+    """The digits of a canonical telephone number's country code; it is kept, so it must not depend on how the number is written."""
+    if not number.startswith("+"):
+        return ""
+    return number[1:2] if number[1:2] in ("1", "7") else number[1:3] if number[1:3] in _TWO else number[1:4]
+
+
 def surrogate(kind: str, value: str, key: bytes, turn: int = 0, gender: str = "") -> str:
     """The replacement of `value`; a higher `turn` draws another."""
     tweak = f"{kind}{turn or ''}"
     if kind in ("phone", "card", "ssn"):
         known = re.sub(r"\D", "", value)
-        lead = re.match(r"\+\d{1,3}(?=[ .(-])", value)
-        fixed = len(lead.group()) - 1 if kind == "phone" and lead else 0
+        fixed = len(country_code(canonical(kind, value))) if kind == "phone" else 0
         if kind == "card":
             for bump in range(50):
                 body = permute(known[:-1], key, f"{tweak}/{bump}")
