@@ -4,8 +4,8 @@ Mail addresses, telephone numbers, IPv4 and IPv6 addresses, social security numb
 after a title are detected. Digits of a kind are moved by a keyed Feistel permutation of all digit strings of that length, so
 distinct numbers stay distinct; words become pronounceable words of the same length and script from a keyed digest. Names
 follow the gender of their title. A distributed check of all distinct entities then finds surrogates that collide with
-each other or with a real entity; those are drawn anew with a higher counter until none collides, and the exceptions
-(bounded by `most_exceptions`, more is an error) are broadcast. Equal entities get equal surrogates everywhere (coreference).
+each other or with a real entity; those are drawn anew with a higher counter until none collides. Up to `most_exceptions`
+of these exceptions are broadcast; more are joined to the texts that hold them. Equal entities get equal surrogates everywhere (coreference).
 
 Defined results: null text stays null; empty text stays empty; text without entities stays as it is; repeated rows are
 replaced alike; an empty table gives an empty result; all other columns are kept as they are.
@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
+import json
 import re
 import unicodedata
 
@@ -30,11 +32,12 @@ TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Lady": "f"
 _PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+)"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<ipv6>(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))"
+    r"|(?P<ipv6>(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:]))"
     r"|(?P<ip>(?<![\w.])(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?![\w]|\.\d))"
     r"|(?P<card>(?<![\w-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<!\w)\+\d{8,15}(?!\w))"
+    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<!\w)\+\d{8,15}(?!\w)"
+    r"|(?<![\w+])\+(?=(?:[ .()-]{0,2}\d){8,15}(?![\w]))\d{1,12}(?:[ .-]?\(\d{1,5}\)|[ .-]\d{1,12}){1,7}(?![\w-])|(?<![\w+.-])0\d(?:[ .-]\d{2}){4}(?![\w-]))"
     r"|(?<!\w)(?P<title>" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.?[  ](?P<person>[^\W\d_]+(?:[-'][^\W\d_]+)*(?: [^\W\d_]+)?)"
 )
 # Country codes of two digits; 1 and 7 are codes of one digit, all others have three.
@@ -93,8 +96,10 @@ def _refill(form: str, digits: str) -> str:
 
 def canonical(kind: str, value: str) -> str:
     """What entities must share to be one: mail and hex without case, numbers by their digits."""
-    if kind in ("email", "ipv6"):
+    if kind == "email":
         return value.lower()
+    if kind == "ipv6":
+        return str(ipaddress.IPv6Address(value))
     if kind in ("phone", "card", "ssn"):
         return ("+" if value.startswith("+") else "") + re.sub(r"\D", "", value)
     if kind == "iban":
@@ -135,7 +140,7 @@ def surrogate(kind: str, value: str, key: bytes, turn: int = 0, gender: str = ""
             left, right = right, left ^ (_prf(key, tweak, r, right) & 0xFFFF)
         return ".".join(str(b) for b in (left >> 8, left & 255, right >> 8, right & 255))
     if kind == "ipv6":
-        bits = _prf(key, tweak, value.lower())
+        bits = _prf(key, tweak, canonical(kind, value))
         return ":".join(f"{bits >> 16 * i & 0xFFFF:x}" for i in range(8))
     if kind == "iban":
         plain = value.replace(" ", "")
@@ -164,6 +169,13 @@ def surrogate(kind: str, value: str, key: bytes, turn: int = 0, gender: str = ""
     return " ".join(new)
 
 
+def _is_ipv6(value: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(value))
+    except ValueError:
+        return False
+
+
 def detect(text) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, gender) of each entity, left to right."""
     if not text or not _QUICK.search(text):
@@ -178,6 +190,8 @@ def detect(text) -> list[tuple[int, int, str, str]]:
             size = len(m["person"]) if len(words) < 2 or not words[1][0].islower() else len(words[0])
             out.append((m.start("person"), m.start("person") + size, kind, TITLES[m["title"]]))
             continue
+        if kind == "ipv6" and not _is_ipv6(m.group()):
+            continue
         if kind == "card" and not _luhn(re.sub(r"\D", "", m.group())):
             kind = "phone"
         out.append((m.start(), m.end(), kind, ""))
@@ -238,22 +252,46 @@ def replace(text, key: bytes, turns: dict) -> tuple[str | None, list[str]]:
     return "".join(out) + text[at:], [s[2] for s in spans]
 
 
+_TURNS, _MARK = "__turns", "__text_sha256"
+
+
+def _with_turns(docs: DataFrame, odd: DataFrame) -> DataFrame:
+    """`docs` with the turns of each text's own exceptions (JSON), by the digest of the text."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for t in dict.fromkeys(b.column("text").to_pylist()):
+                if spans := detect(t):
+                    mark = hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest()
+                    rows += [(mark, *e) for e in dict.fromkeys((kind, canonical(kind, t[a:z]), gender) for a, z, kind, gender in spans)]
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], [_MARK, "kind", "value", "gender"])
+
+    held = docs.select("text").mapInArrow(run, f"{_MARK} string, kind string, value string, gender string").dropDuplicates()
+    entry = F.array("kind", "value", "gender", F.col("turn").cast("string"))
+    by = held.join(odd, ["kind", "value", "gender"]).groupBy(_MARK).agg(F.to_json(F.collect_list(entry)).alias(_TURNS))
+    return docs.withColumn(_MARK, F.sha2(F.col("text"), 256)).join(by, _MARK, "left").drop(_MARK)
+
+
 def anonymise(docs: DataFrame, key: bytes = b"meridian", most_exceptions: int = 200_000) -> DataFrame:
     """`docs` with text replaced, plus n_<kind> counts (long) for each kind and `changed`."""
     spark = docs.sparkSession
     found = durable(entities(docs))
-    odd = exceptions(found, key).limit(most_exceptions + 1).collect()
-    if len(odd) > most_exceptions:
-        raise RuntimeError(f"more than {most_exceptions} colliding surrogates; use another key")
-    turns = spark.sparkContext.broadcast({(r["kind"], r["value"], r["gender"]): r["turn"] for r in odd})
+    odd = durable(exceptions(found, key))
+    joined = len(few := odd.limit(most_exceptions + 1).collect()) > most_exceptions
+    turns = spark.sparkContext.broadcast({} if joined else {(r["kind"], r["value"], r["gender"]): r["turn"] for r in few})
+    names = docs.columns
+    fed = _with_turns(docs, odd) if joined else docs
     extra = [f"n_{k}" for k in KINDS if f"n_{k}" not in docs.columns]
 
     def run(batches):
         for b in batches:
-            got = [replace(t, key, turns.value) for t in b.column("text").to_pylist()]
-            cols = [pa.array([g[0] for g in got], pa.string()) if n == "text" else b.column(n) for n in b.schema.names]
+            own = [{tuple(x[:3]): int(x[3]) for x in json.loads(o or "[]")} for o in b.column(_TURNS).to_pylist()] if joined else [turns.value] * b.num_rows
+            got = [replace(t, key, o) for t, o in zip(b.column("text").to_pylist(), own)]
+            cols = [pa.array([g[0] for g in got], pa.string()) if n == "text" else b.column(n) for n in names]
             counts = [pa.array([g[1].count(n[2:]) for g in got], pa.int64()) for n in extra]
-            yield pa.RecordBatch.from_arrays([*cols, *counts], [*b.schema.names, *extra])
+            yield pa.RecordBatch.from_arrays([*cols, *counts], [*names, *extra])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{n} long" for n in extra])
-    return docs.mapInArrow(run, schema)
+    return fed.mapInArrow(run, schema)

@@ -24,3 +24,19 @@ def test_clash_of_a_number_with_country_code_is_found(spark):
     out = {r["doc_id"]: digits(r["text"]) for r in pii.anonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[1] == out[3] != out[2]
     assert not {out[1], out[2]} & {digits(number), digits(clash)}
+
+
+def test_short_addresses_and_numbers_of_other_countries_are_found():
+    for kind, value in [("ipv6", "2001:db8::1"), ("ipv6", "fe80::1ff:fe23:4567:890a"), ("phone", "+33 1 23 45 67 89"), ("phone", "01 23 45 67 89"), ("phone", "+49 30 123456"), ("phone", "+34 912 34 56 78")]:
+        assert [(x[2], f"x {value} y"[x[0] : x[1]]) for x in pii.detect(f"x {value} y")] == [(kind, value)]
+        assert value not in pii.replace(f"x {value} y", b"k", {})[0]
+    assert pii.detect("std::vector a::b at 12:30:45 on 2024-01-02") == []
+    assert len({pii.surrogate("ipv6", v, b"k") for v in ("2001:db8::1", "2001:DB8:0:0:0:0:0:1")}) == 1
+
+
+def test_many_exceptions_are_joined(spark):
+    names = [f"{x}{y}" for x in "ABCDEFGHIJKLMNOPRSTUVWXYZ" for y in "aeiou"]
+    rows = [(i, f"Mr {n} came.", i) for i, n in enumerate(names)] + [(7, None, 0), (8, "", 0), (9, "no one", 0), (None, "Mr Aa came.", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_ip long")
+    few, many = pii.anonymise(df), pii.anonymise(df, most_exceptions=0)
+    assert few.schema == many.schema and sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
