@@ -93,18 +93,51 @@ def _shingles(h: np.ndarray, n: int = 5) -> np.ndarray:
     return np.unique(mix64(out))
 
 
-def build(items: list[tuple[int, str]], width: int = 8, stride: int = 64, k1: float = 1.2, b: float = 0.75) -> Index:
-    """Index the items' words (lower case, without punctuation). Impacts are divided by the item's best possible score."""
+@dataclass
+class Counts:
+    """What BM25 takes from a whole benchmark: items, words, the longest item, and how many items hold each term."""
+
+    items: int
+    words: int
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def _words(items):
     items = [(i, t) for i, t in items if isinstance(t, str) and plain([t])[0].split()]
-    texts = plain([t for _, t in items])
-    h, at = word_hashes(texts)
+    h, at = word_hashes(plain([t for _, t in items]))
     sizes = np.diff(at)
     owner = np.repeat(np.arange(len(items)), sizes)
     pairs, tf = np.unique(np.stack([h, owner.astype(np.uint64)]), axis=1, return_counts=True) if len(h) else (np.zeros((2, 0), np.uint64), np.zeros(0))
+    return items, h, at, sizes, pairs, tf
+
+
+def count(blocks) -> Counts:
+    """Counts over all blocks of items."""
+    out = Counts(0, 0, 1, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for block in blocks:
+        items, _, _, sizes, pairs, _ = _words(block)
+        terms, df = np.unique(pairs[0], return_counts=True)
+        both, inverse = np.unique(np.concatenate([out.terms, terms]), return_inverse=True)
+        merged = np.zeros(len(both), np.int64)
+        np.add.at(merged, inverse, np.concatenate([out.df, df]))
+        out = Counts(out.items + len(items), out.words + int(sizes.sum()), max(out.longest, int(sizes.max(initial=1))), both, merged)
+    return out
+
+
+def build(items: list[tuple[int, str]], width: int = 8, stride: int = 64, k1: float = 1.2, b: float = 0.75, counts: Counts | None = None) -> Index:
+    """Index the items' words (lower case, without punctuation). Impacts are divided by the item's best possible score.
+
+    `counts` are those of the whole benchmark, of which the items may be a block.
+    """
+    counts = counts or count([items])
+    items, h, at, sizes, pairs, tf = _words(items)
     terms, df = np.unique(pairs[0], return_counts=True)
     item = pairs[1].astype(np.int64)
-    mean = sizes.mean() if len(sizes) else 1
-    idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
+    mean = counts.words / max(counts.items, 1)
+    held = counts.df[np.searchsorted(counts.terms, terms)]
+    idf = np.log1p((counts.items - held + 0.5) / (held + 0.5))
     impact = np.repeat(idf, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[item] / max(mean, 1)))
     best = np.bincount(item, impact, len(items))
     impact = impact / np.maximum(best[item], 1e-12)
@@ -117,8 +150,7 @@ def build(items: list[tuple[int, str]], width: int = 8, stride: int = 64, k1: fl
         shingles.append(_shingles(words))
         question.append(_shingles(words[: len(words) - tail]))
         answer.append(np.unique(words[len(words) - tail :]))
-    longest = int(sizes.max()) if len(sizes) else 1
-    return Index(np.array([i for i, _ in items], np.int64), terms, post_at, item, impact, width, max(stride, longest), shingles, question, answer)
+    return Index(np.array([i for i, _ in items], np.int64), terms, post_at, item, impact, width, max(stride, counts.longest), shingles, question, answer)
 
 
 def _spread(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +249,8 @@ def item_blocks(benchmark: DataFrame, items_at_once: int):
 
 
 def _indexes(spark, benchmark, items_at_once):
-    return [spark.sparkContext.broadcast(build(block)) for block in item_blocks(benchmark, items_at_once)]
+    counts = count(item_blocks(benchmark, items_at_once))
+    return [spark.sparkContext.broadcast(build(block, counts=counts)) for block in item_blocks(benchmark, items_at_once)]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, least_overlap: float = 0.8, least_part: float = 0.6, items_at_once: int = 20_000) -> DataFrame:
