@@ -2,19 +2,23 @@
 
 Stages, all on distinct texts (copies are classed by the digest of their text first):
 1. Sign: five-word shingles are hashed once into `TREES * DEPTH + SPARE` bins (one-permutation MinHash, empty bins
-   filled by random probing). Each of the TREES tries indexes DEPTH bins in order.
-2. Match: the matched prefix starts at DEPTH and is shortened until trees that agree on it reach the target recall at
-   the threshold (1 - (1 - t**d) ** TREES). Texts in one trie node meet in sorted runs; large nodes are dealt out as
-   pairs of blocks. Inside a run the full signatures are compared and only a spanning set of likely pairs is kept.
-3. Components of these links gather texts that may be similar; every true pair above the threshold lies inside one.
-4. Verify: inside each component (again in pairs of blocks) all pairs are compared exactly by shingle sets, as block
+   filled by random probing). Each of the TREES tries holds DEPTH bins of every text, in order.
+2. Shorten: a text's matched prefix starts at DEPTH and is shortened, text by text, until the trees that agree on it reach the
+   target recall at the threshold; texts with few shingles share bins between trees and so end nearer to the roots.
+   A text also enters the nodes of the prefixes that texts of down to `threshold` times its shingles use, since only such are partners.
+3. Match: all prefixes are dealt by range and sorted, so each task holds a run of the tries in order. Prefixes without an equal
+   neighbour leave there; only for the others the signatures are fetched. Texts in one node are compared by signature
+   (large nodes are dealt out as pairs of blocks) and only a spanning set of likely pairs is kept.
+4. Components of these links gather texts that may be similar; every true pair above the threshold lies inside one.
+5. Verify: inside each component (in pairs of blocks) all pairs are compared exactly by shingle sets, as block
    matrix products. Only counts per text and a spanning set of true links leave a task; pairs are never listed.
-5. Components of the true links are the classes; every document gets its class by its text's digest.
+6. Components of the true links are the classes; every document gets its class by its text's digest.
 
 Defined results: null text counts as empty; texts without words form one class of copies without links; a text of fewer
-than five words links only with its copies; n_copies counts other rows with the same text and n_links other texts with
-Jaccard >= threshold, so repeated rows are copies; class_id is the least doc_id of the class (null if all are null);
-an empty table gives an empty result; other columns are ignored.
+than five words links only with its copies; texts of any length are taken whole; n_copies counts other rows with the same text
+and n_links other texts with Jaccard >= threshold, so repeated rows are copies; class_id is the least doc_id of the class (null
+if all are null); of rows equal in doc_id and text `keep_one` keeps the one whose hash over all columns is least; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,17 +32,29 @@ from ._common import as_bytes, durable, mix64, shingle_hashes, slabs, small
 
 TREES, DEPTH, SPARE = 20, 6, 8
 BINS = TREES * DEPTH + SPARE
-BLOCK = 256
+ROWS, BYTES = 1024, 4 << 20  # a block of texts in a node or a component
 BROADCAST_KEYS = 100_000
 _DONORS = np.stack([np.random.default_rng([11, i]).permutation(BINS) for i in range(BINS)])
 
 
-def prefix_length(threshold: float, recall: float) -> int:
-    """The longest prefix whose trees together reach the recall at the threshold."""
-    for depth in range(DEPTH, 0, -1):
-        if 1 - (1 - threshold**depth) ** TREES >= recall:
+def prefix_length(threshold: float, recall: float, shingles: int = 1 << 30) -> int:
+    """The longest prefix whose trees together reach the recall at the threshold, for a text of so many shingles.
+
+    Bins of a text with few shingles repeat the same minima; n / (n + 5) of the trees count as independent (simulated pairs find more).
+    """
+    trees = TREES * shingles / (shingles + 5)
+    for depth in range(DEPTH, 3, -1):
+        if 1 - (1 - threshold**depth) ** trees >= recall:
             return depth
-    return 1
+    return 3  # shorter ones would hold unrelated texts
+
+
+def depths(threshold: float, recall: float) -> tuple[np.ndarray, np.ndarray]:
+    """For a text of n shingles: its own prefix length and the shortest one that a possible partner uses (n from 0; the last entry is for all longer ones)."""
+    own = [prefix_length(threshold, recall, n) for n in range(1, 4096)]
+    own = np.array([own[0], *own])
+    least = own[np.ceil(np.arange(len(own)) * threshold - 1e-9).astype(int)]
+    return own, np.minimum(own, least)
 
 
 def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -67,14 +83,14 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sig
 
 
-def tree_keys(sig: np.ndarray, depth: int) -> np.ndarray:
-    """n x TREES hashes of each tree's first `depth` bins."""
-    out = np.empty((len(sig), TREES), np.uint64)
-    for t in range(TREES):
-        h = np.full(len(sig), t + 1, np.uint64)
-        for j in range(depth):
-            h = mix64(h ^ sig[:, t * DEPTH + j])
-        out[:, t] = h
+def prefixes(sig: np.ndarray, own: np.ndarray, least: np.ndarray) -> list[list[bytes]]:
+    """Per text its nodes in all trees: a byte for the tree, then 16 bits of each bin, at its own depth and at its partners'."""
+    low = (sig[:, : TREES * DEPTH] & np.uint64(0xFFFF)).astype(">u2").reshape(-1, TREES, DEPTH)
+    raw = np.concatenate([np.broadcast_to(np.arange(TREES, dtype=np.uint8)[None, :, None], (len(sig), TREES, 1)), np.ascontiguousarray(low).view(np.uint8)], axis=2)
+    out = []
+    for row, most, few in zip(np.ascontiguousarray(raw), own.tolist(), least.tolist()):
+        flat, size = row.tobytes(), 1 + 2 * DEPTH
+        out.append([flat[t * size : t * size + 1 + 2 * d] for d in range(few, most + 1) for t in range(TREES)])
     return out
 
 
@@ -97,24 +113,48 @@ def least_label(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _sign(depth: int):
+def _sign(threshold: float, recall: float):
+    own, least = depths(threshold, recall)
+
     def run(batches):
         for batch in small(batches):
             texts = as_bytes(batch.column("text").to_pylist())
             keys = batch.column("key").cast(pa.binary())
             for lo, hi in slabs(texts):
                 hashes, at = shingle_hashes(texts[lo:hi])
-                some = np.flatnonzero(np.diff(at))
+                count = np.diff(at)
+                some = np.flatnonzero(count)
                 sig = signatures(hashes, at)[some]
-                tree = tree_keys(sig, depth).astype(np.int64)
+                n = np.minimum(count[some], len(own) - 1)
+                nodes = prefixes(sig, own[n], least[n])
                 low = (sig & np.uint64(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(lo, hi - lo).take(pa.array(some)), pa.array([x.tobytes() for x in low], pa.binary()), pa.array(list(tree), pa.list_(pa.int64()))], ["key", "sig", "trees"]
+                    [keys.slice(lo, hi - lo).take(pa.array(some)), pa.array([x.tobytes() for x in low], pa.binary()), pa.array(nodes, pa.list_(pa.binary())), pa.array(count[some], pa.int64())], ["key", "sig", "nodes", "shingles"]
                 )
 
     return run
 
 
+def _met(batches):
+    """Of a sorted run of prefixes those with an equal neighbour, and the run's ends (their neighbour may be in another run)."""
+    held = None  # the last row seen, and whether the row before it is equal or there is none
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held[0], pa.Table.from_batches([b])])
+        node = t.column("node").to_numpy(zero_copy_only=False)
+        same = node[1:] == node[:-1]
+        keep = np.zeros(len(node), bool)
+        keep[:-1] |= same
+        keep[1:] |= same
+        keep[0] |= True if held is None else held[1]
+        held = t.slice(len(node) - 1), bool(keep[-1])
+        keep[-1] = False
+        yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+    if held is not None:
+        yield from held[0].combine_chunks().to_batches()
+
+
 def _groups(batches, names):
     """Whole groups of equal leading columns from sorted Arrow batches; consecutive whole groups come together."""
     held = []
@@ -183,19 +223,33 @@ def _likely(least: float):
     return run
 
 
-def _in_blocks(df: DataFrame, by: str, size: str, key: str, block: int) -> DataFrame:
-    """Deal each group out as pairs (left, right) of blocks of about `block` rows: every two rows meet in one pair at least."""
-    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
+def _in_blocks(df: DataFrame, blocks, key: str) -> DataFrame:
+    """Deal each group out as pairs (left, right) of its `blocks` blocks: every two rows meet in one pair at least."""
+    n = blocks.cast("int")
     own = F.pmod(F.xxhash64(key, F.lit(5)), n).cast("int")
     partner = F.explode(F.when(n == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1)))
     return df.withColumn("own", own).withColumn("partner", partner).withColumn("left", F.least("own", "partner")).withColumn("right", F.greatest("own", "partner")).drop("partner")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _contract(batches):
+    """The links of a task as stars: each batch's components, every member linked to the least one. What is connected stays so."""
+    for b in batches:
+        a, z = (b.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
+        if not len(a):
+            continue
+        keys, at = np.unique(np.concatenate([a, z]), return_inverse=True)
+        label = least_label(len(keys), at[: len(a)], at[len(a) :])
+        moved = np.flatnonzero(label != np.arange(len(keys)))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[moved].tolist(), pa.binary()), pa.array(keys[label[moved]].tolist(), pa.binary())], ["a", "b"])
+
+
+def components(links: DataFrame) -> DataFrame:
     """(key, root): the least key of each connected component of links (a, b). Labels fall along links and then jump to their label's label until nothing changes."""
-    both = durable(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    for by in ("b", "a"):  # links that meet in a task become stars, so few rounds are left
+        links = links.where("a <> b").repartition(by).mapInArrow(_contract, "a binary, b binary")
+    both = durable(links.select("a", "b").union(links.select("b", "a")).distinct())
     label = durable(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("near")).select("key", F.least("key", "near").alias("root")))
-    for _ in range(most_rounds):
+    while True:
         near = both.join(label, both["b"] == label["key"]).groupBy("a").agg(F.min("root").alias("near"))
         hooked = label.join(near, label["key"] == near["a"], "left").select("key", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("mid"))
         far = label.select(F.col("key").alias("far_key"), F.col("root").alias("far"))
@@ -204,7 +258,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         label = jumped.select("key", "root")
         if jumped.where("old <> root").isEmpty():
             return label
-    raise RuntimeError("components did not settle")
 
 
 def _sets(batches):
@@ -213,11 +266,12 @@ def _sets(batches):
         for lo, hi in slabs(texts):
             hashes, at = shingle_hashes(texts[lo:hi])
             got = [np.unique(hashes[at[i] : at[i + 1]]).tobytes() for i in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays([batch.column("key").slice(lo, hi - lo), batch.column("root").slice(lo, hi - lo), batch.column("size").slice(lo, hi - lo), pa.array(got, pa.binary())], ["key", "root", "size", "grams"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("key", "root", "blocks")), pa.array(got, pa.binary())], ["key", "root", "blocks", "grams"])
 
 
-def similar(sets: list[np.ndarray], threshold: float, left: np.ndarray, right: np.ndarray, chunk: int = 8192):
+def similar(sets: list[np.ndarray], threshold: float, left: np.ndarray, right: np.ndarray, room: int = 4 << 20):
     """Index pairs (i of left, j of right) with exact Jaccard >= threshold, by matrix products over the shingles that occur twice."""
+    chunk = max(256, room // max(len(left), len(right), 1))
     sizes = np.array([len(s) for s in sets], np.float64)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     who = np.repeat(np.arange(len(sets)), sizes.astype(int))
@@ -277,34 +331,43 @@ def _verify(threshold: float):
     return run
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, block: int = BLOCK) -> DataFrame:
-    """One row per distinct text that has similar other texts: key (md5 of the text), root (a key, the same for a class), n_links."""
-    depth = prefix_length(threshold, recall)
+def classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, rows: int = ROWS, size: int = BYTES) -> DataFrame:
+    """One row per distinct text that has similar other texts: key (md5 of the text), root (a key, the same for a class), n_links.
+
+    `rows` and `size` (bytes of shingle sets) bound a block of texts in a task; a group of any size is dealt out in blocks.
+    """
     texts = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("key"), "text")
-    signed = durable(texts.mapInArrow(_sign(depth), "key binary, sig binary, trees array<long>").dropDuplicates(["key"]))
-    nodes = signed.select("key", F.explode("trees").alias("node"))
-    shared = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-    met = nodes.join(shared, "node").join(signed.select("key", "sig"), "key")
-    met = _in_blocks(met, "node", "size", "key", 2 * block).select(*NODE, "key", "sig")
+    signed = durable(texts.mapInArrow(_sign(threshold, recall), "key binary, sig binary, nodes array<binary>, shingles long").dropDuplicates(["key"]))
+    spots = signed.select(F.explode("nodes").alias("node"), "key")
+    met = spots.repartitionByRange("node", "key").sortWithinPartitions("node", "key").mapInArrow(_met, "node binary, key binary")
+    met = durable(met)
+    large = met.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > rows).select(F.col("node").alias("large"), "n")
+    met = met.join(large, F.col("node") == F.col("large"), "left").select("node", "key", F.coalesce(F.ceil(F.col("n") / rows), F.lit(1)).alias("blocks"))
+    met = _in_blocks(met, F.col("blocks"), "key").join(signed.select("key", "sig"), "key").select(*NODE, "key", "sig")
     likely = max(0.3, threshold - 4.2 * (threshold * (1 - threshold) / BINS) ** 0.5)
     links = met.repartition(*NODE).sortWithinPartitions(*NODE, "key").mapInArrow(_likely(likely), "a binary, b binary")
-    maybe = components(links)
-    sized = durable(maybe.join(maybe.groupBy("root").agg(F.count("*").alias("size")), "root"))
+    maybe = components(links).join(signed.select("key", "shingles"), "key")
+    total = maybe.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("shingles") * 8 / size)).alias("blocks"))
+    sized = durable(maybe.select("key", "root").join(total, "root"))
     few = sized.count() <= BROADCAST_KEYS
-    members = texts.join(F.broadcast(sized) if few else sized, "key").dropDuplicates(["key"]).select("key", "root", "size", "text")
-    sets = members.mapInArrow(_sets, "key binary, root binary, size long, grams binary")
+    members = texts.join(F.broadcast(sized) if few else sized, "key").dropDuplicates(["key"]).select("key", "root", "blocks", "text")
+    sets = members.mapInArrow(_sets, "key binary, root binary, blocks long, grams binary")
     by = ["root", "left", "right"]
-    dealt = _in_blocks(sets, "root", "size", "key", block).select(*by, "own", "key", "grams")
+    dealt = _in_blocks(sets, F.col("blocks"), "key").select(*by, "own", "key", "grams")
     found = durable(dealt.repartition(*by).sortWithinPartitions(*by, "key").mapInArrow(_verify(threshold), "a binary, b binary, n long"))
     roots = components(found.select("a", "b"))
     counts = found.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
     return counts.join(roots, "key").select("key", "root", "n_links")
 
 
+def _digest():
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+
 def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
     """Per row of `docs`: doc_id, class_id, n_copies, n_links."""
     found = classes(docs, threshold, recall)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("key"))
     copies = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
     known = copies.join(found, "key", "left").select("key", "first_id", "rows", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     known = durable(known)
@@ -314,14 +377,14 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> Data
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """`docs` with one document of each class: the one with the least doc_id, then the least text."""
+    """`docs` with one document of each class: the one with the least doc_id, then the least digest of the text, then the least hash of the row.
+
+    The choice is made on ids and hashes; the texts are shuffled once, dealt by the whole choice, so copies of one text are spread.
+    """
     found = classes(docs, threshold, recall)
-    digest = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    rows = docs.select("doc_id", digest.alias("key"))
-    copies = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"))
-    known = copies.join(found, "key", "left").select("key", "first_id", F.coalesce("root", "key").alias("root"))
-    order = F.struct(F.col("first_id").isNull(), F.col("first_id"), F.col("key"))
-    heads = known.groupBy("root").agg(F.min(order).alias("head")).select(F.col("head.first_id").alias("head_id"), F.col("head.key").alias("head_key"))
-    marked = docs.withColumn("__key", digest)
-    kept = marked.join(heads, (F.col("__key") == F.col("head_key")) & F.col("doc_id").eqNullSafe(F.col("head_id")), "left_semi")
-    return kept.dropDuplicates(["__key", "doc_id"]).drop("__key")
+    mark = {"__key": _digest(), "__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id"), F.lit(0).cast(docs.schema["doc_id"].dataType)), "__row": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])}
+    marked = docs.withColumns(mark)
+    copies = marked.groupBy("__key").agg(F.min(F.struct("__none", "__id", "__row")).alias("first"))
+    known = copies.join(found.withColumnRenamed("key", "__key"), "__key", "left").select("first", "__key", F.coalesce("root", "__key").alias("root"))
+    heads = known.groupBy("root").agg(F.min(F.struct("first.__none", "first.__id", "__key", "first.__row")).alias("head")).select("head.*")
+    return marked.join(heads, [*mark], "left_semi").dropDuplicates([*mark]).drop(*mark)

@@ -351,7 +351,7 @@ def test_large_groups_are_verified_in_blocks(spark, monkeypatch):
     seed = " ".join(f"w{rng.randrange(3000)}" for _ in range(300))
     df = spark.createDataFrame([(i, near(seed, rng, 2)) for i in range(120)], "doc_id long, text string")
     whole = {tuple(r) for r in jaccard.classes(df).select("key", "n_links").collect()}
-    assert whole == {tuple(r) for r in jaccard.classes(df, block=16).select("key", "n_links").collect()}
+    assert whole == {tuple(r) for r in jaccard.classes(df, rows=16).select("key", "n_links").collect()}
 
 
 def test_jaccard_odd_rows(spark, odd):
