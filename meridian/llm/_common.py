@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,13 +9,13 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named (tests)."""
+    """The shared folder the cluster names; where none is named (tests), one beside the tables of the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not named:
         named = context.getCheckpointDir()
     if not named:
-        named = os.path.join(tempfile.gettempdir(), "checkpoints")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
@@ -30,6 +27,24 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(marked: DataFrame, rows: int, size: int) -> list:
+    """At most `rows` distinct rows of at most `size` bytes together, in the order of their `mark` (a hash of all that tells rows apart).
+
+    `marked` has mark, size (bytes of its text) and other columns. Choice is made on marks and sizes; only chosen texts reach the driver.
+    """
+    few = marked.select("mark", "size").distinct().orderBy("mark", "size").limit(rows).collect()
+    chosen, used = [], 0
+    for r in few:
+        if used + r["size"] > size:
+            continue
+        used += r["size"]
+        chosen.append((r["mark"],))
+    if not chosen:
+        return []
+    picked = F.broadcast(marked.sparkSession.createDataFrame(chosen, "mark long"))
+    return sorted(marked.join(picked, "mark").dropDuplicates(["mark"]).collect(), key=lambda r: r["mark"])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

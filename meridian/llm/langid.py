@@ -1,12 +1,14 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
-Training runs in numpy on a bounded sample (`per_language` documents of each language, picked by a hash
-of doc_id) by stochastic gradient descent; a calibration part of that sample fits the temperature and the
-score under which a prediction is marked as rejected. Since the model is linear before the softmax,
+Training runs in numpy by stochastic gradient descent on a sample bounded by three parameters (`per_language` documents of each
+language, `max_rows` and `max_bytes` in all, in the order of a hash of doc_id and text); a calibration part of that sample fits
+the temperature and the score under which a prediction is marked as rejected. Since the model is linear before the softmax,
 embedding and output layer fold into one table (bucket x language), so prediction is a gather and a mean.
 
-Defined results: null, empty or letterless text is `und` with score 0; rows with a null language never
-train; repeated rows get equal predictions; an empty table gives an empty result; other columns are ignored.
+Defined results: null, empty or letterless text is `und` with score 0; texts of any length are read whole, and neither the window
+in which they are read nor their neighbours change a score; rows with a null language or text never train; rows with a null id
+are not held out; repeated rows get equal predictions and train once; ties between languages go to the first by code point; an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,12 +19,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import as_bytes
+from ._common import as_bytes, small
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean"
-MOST_BROADCAST = 10_000
+AHEAD = 3  # an n-gram of four bytes reaches three beyond its first
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -36,29 +39,37 @@ class Model:
     reject_below: float
 
 
-def _grams(texts: list[bytes], buckets: int, sizes=(2, 3, 4)):
-    """Hashed byte n-grams inside words (white space, digits and punctuation count as one boundary mark), a vector per size, with offsets."""
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    data = np.frombuffer(b" " + b" ".join(texts) + b"     ", np.uint8)
+def _grams(pieces: list[bytes], buckets: int, sizes=(2, 3, 4)):
+    """Hashed byte n-grams inside words (white space, digits and punctuation count as one boundary mark), a vector per size, with offsets.
+
+    Each piece is a stretch of a padded text and ends with AHEAD bytes at which no n-gram of its own begins.
+    """
+    data = np.frombuffer(b"".join(pieces), np.uint8)
     marks = np.where(_LETTER[data], data, 32).astype(np.uint32)
-    begins = np.concatenate([[0], np.cumsum(lengths + 1)])
+    ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+    own = np.ones(len(data), bool)
+    for k in range(1, AHEAD + 1):
+        own[ends - k] = False
     out = []
     for n in sizes:
-        h = np.full(len(marks) - n + 1, 2166136261 + n, np.uint32)
+        h = np.full(len(marks) - AHEAD, 2166136261 + n, np.uint32)
         for j in range(n):
             h ^= marks[j : j + len(h)]
             h *= np.uint32(16777619)
         h ^= h >> np.uint32(15)
-        out.append((h & np.uint32(buckets - 1))[: begins[-1]])
-    return out, begins
+        out.append((h & np.uint32(buckets - 1))[own[: len(h)]])
+    return out, np.concatenate([[0], ends - AHEAD * np.arange(1, len(pieces) + 1)])
+
+
+def padded(text: bytes) -> bytes:
+    return b" " + text + b" " * AHEAD
 
 
 def _features(texts: list[bytes], buckets: int):
     """Per text the distinct buckets and how often each occurs."""
-    grams, at = _grams(texts, buckets)
-    for i in range(len(texts)):
-        got = np.concatenate([g[at[i] : at[i + 1]] for g in grams]) if texts[i] else np.zeros(0, np.uint32)
-        ids, n = np.unique(got, return_counts=True)
+    for t in texts:
+        grams, _ = _grams([padded(t)], buckets)
+        ids, n = np.unique(np.concatenate(grams) if t else np.zeros(0, np.uint32), return_counts=True)
         yield ids, (n / max(n.sum(), 1)).astype(np.float32)
 
 
@@ -69,7 +80,7 @@ def fit(texts: list[str], langs: list[str], buckets: int = 1 << 15, width: int =
         return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
     y = np.array([names.index(x) for x in langs])
     rng = np.random.default_rng(seed)
-    rows = list(_features([t.lower().encode() for t in texts], buckets))
+    rows = list(_features(as_bytes([t.lower() for t in texts]), buckets))
     order = rng.permutation(len(rows))
     held, train = (order[::5], np.setdiff1d(order, order[::5])) if len(rows) >= 50 else (order, order)
     emb = rng.normal(0, 1 / width, (buckets, width)).astype(np.float32)
@@ -109,7 +120,7 @@ def fit(texts: list[str], langs: list[str], buckets: int = 1 << 15, width: int =
 
 
 def logits(model: Model, texts: list[bytes], window: int = 1 << 20) -> np.ndarray:
-    """Mean table row over all n-grams of each whole text, in windows so that a very long text needs no more memory."""
+    """Mean table row over all n-grams of each whole text; a long text is read in windows that overlap by an n-gram's reach, so it needs no more memory."""
     total, count = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
     pieces = []
     used = 0
@@ -121,14 +132,14 @@ def logits(model: Model, texts: list[bytes], window: int = 1 << 20) -> np.ndarra
             who = np.array([i for i, _ in pieces])
             for g in grams:
                 for c in range(total.shape[1]):
-                    run = np.concatenate([[0.0], np.cumsum(model.table[:, c][g], dtype=np.float64)])
-                    np.add.at(total[:, c], who, run[at[1:]] - run[at[:-1]])
+                    np.add.at(total[:, c], who, np.add.reduceat(model.table[:, c][g].astype(np.float64), at[:-1]))
                 np.add.at(count, who, np.diff(at))
         pieces, used = [], 0
 
     for i, t in enumerate(texts):
-        for k in range(0, len(t), window):
-            pieces.append((i, t[k : k + window]))
+        t = padded(t)
+        for k in range(0, len(t) - AHEAD, window):
+            pieces.append((i, t[k : k + window + AHEAD]))
             used += len(pieces[-1][1])
             if used >= window:
                 flush()
@@ -152,35 +163,43 @@ def predict(model: Model, texts: list) -> tuple[list[str], np.ndarray, np.ndarra
     return [model.languages[b] if k else "und" for b, k in zip(best, known)], score, known & (score >= model.reject_below)
 
 
-def training_sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """About `per_language` rows of each language outside the held-out fold, picked by a hash of doc_id."""
+def training_sample(docs: DataFrame, per_language: int, max_rows: int = 20_000, max_bytes: int = 64 << 20) -> list:
+    """At most `per_language` distinct rows of each language outside the held-out fold, and at most `max_rows` of `max_bytes` in all, by a hash of doc_id and text."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("seen"))
-    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("seen"))
-    picked = counts.select(F.col("lang").alias("picked_lang"), (share * F.lit(float(1 << 30))).alias("under"))
-    few = counts.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    picked = F.broadcast(picked) if few else picked
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    return rows.join(picked, (F.col("lang") == F.col("picked_lang")) & (draw < F.col("under"))).select("doc_id", "text", "lang")
+    rows = rows.select("lang", "text", F.octet_length("text").alias("size"), F.xxhash64("doc_id", "text", "lang").alias("mark"))
+    seen = rows.groupBy("lang").agg(F.count("*").alias("seen"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_language + 20) / F.col("seen"))  # twice the wish, so that a language is ranked over few rows
+    wanted = seen.orderBy(F.desc("seen"), "lang").limit(max_rows).select(F.col("lang").alias("seen_lang"), (share * F.lit(float(1 << 30))).alias("under"))
+    drawn = rows.join(F.broadcast(wanted), F.col("lang") == F.col("seen_lang"))  # at most max_rows rows
+    drawn = drawn.where(F.pmod("mark", F.lit(1 << 30)) < F.col("under")).groupBy("lang", "mark").agg(F.first("size").alias("size"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("mark", F.lit(1 << 30)), "mark"))
+    picked = drawn.withColumn("rank", rank).where(F.col("rank") <= per_language).orderBy("rank", "mark").limit(max_rows).select("mark", "size", "rank")
+    few, used = [], 0
+    for r in picked.collect():
+        if used + r["size"] <= max_bytes:
+            used += r["size"]
+            few.append((r["mark"],))
+    if not few:
+        return []
+    marks = F.broadcast(docs.sparkSession.createDataFrame(few, "mark long"))
+    return sorted(rows.join(marks, "mark").dropDuplicates(["mark"]).collect(), key=lambda r: r["mark"])
 
 
 def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def identify(docs: DataFrame, per_language: int = 500) -> DataFrame:
-    """Predict the language of every whole text of `docs` (doc_id, text, lang); `per_language` bounds the training sample."""
+def identify(docs: DataFrame, per_language: int = 500, max_rows: int = 20_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Predict the language of every whole text of `docs` (doc_id, text, lang); the three parameters bound the training sample."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.col("lang"))
-    sample = sorted(map(tuple, training_sample(own, per_language).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    model = spark.sparkContext.broadcast(fit([r[1] for r in sample], [r[2] for r in sample]))
+    sample = training_sample(own, per_language, max_rows, max_bytes)
+    model = spark.sparkContext.broadcast(fit([r["text"] for r in sample], [r["lang"] for r in sample]))
 
     def run(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                lang, score, accepted = predict(model.value, part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "accepted"])
+        for part in small(batches):
+            lang, score, accepted = predict(model.value, part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "accepted"])
 
     fed = own.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
     return fed.mapInArrow(run, SCHEMA)
