@@ -2,13 +2,20 @@
 
 Mail addresses, telephone numbers, IPv4 and IPv6 addresses, social security numbers, card numbers (Luhn), IBANs and names
 after a title are detected. Digits of a kind are moved by a keyed Feistel permutation of all digit strings of that length, so
-distinct numbers stay distinct; words become pronounceable words of the same length and script from a keyed digest. Names
-follow the gender of their title. A distributed check of all distinct entities then finds surrogates that collide with
-each other or with a real entity; those are drawn anew with a higher counter until none collides. Up to `most_exceptions`
-of these exceptions are broadcast; more are joined to the texts that hold them. Equal entities get equal surrogates everywhere (coreference).
+distinct numbers stay distinct; words become pronounceable words of the same length and script from a keyed digest.
 
-Defined results: null text stays null; empty text stays empty; text without entities stays as it is; repeated rows are
-replaced alike; an empty table gives an empty result; all other columns are kept as they are.
+A name has any number of words, particles (de, van, ...) between them, and is replaced word by word: a word has one surrogate in the
+whole corpus, so a person keeps one name under every title and in every document. Inside a document, later and earlier mentions
+of the words of its titled names without a title are replaced too. Endings that tell a given name's gender (a, o) are kept.
+
+A distributed check of all distinct entities finds surrogates that collide with each other or with a real entity; those are drawn
+anew with a higher counter until none collides. Up to `most_exceptions` of these exceptions are broadcast; more are joined to the
+texts that hold them. Equal entities get equal surrogates everywhere (coreference). The key is the caller's: who has it can undo
+the permutations.
+
+Defined results: null text stays null; empty text stays empty; text without entities stays as it is; texts of any length are read
+whole; repeated rows are replaced alike; an empty table gives an empty result; all other columns are kept as they are, and the counts
+take underscores where a column has their name. Initials (J.) are replaced but may coincide, since there are too few letters.
 """
 
 from __future__ import annotations
@@ -24,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import durable
+from ._common import durable, small
 
 KINDS = ("email", "iban", "ipv6", "ip", "card", "ssn", "phone", "person")
-# Titles and the gender they tell.
-TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Lady": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Dr": "n", "Prof": "n"}
+# Titles.
+TITLES = ("Mr", "Mrs", "Ms", "Miss", "Sir", "Lady", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Sr", "Sra", "Dr", "Prof")
 _PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+)"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
@@ -38,8 +45,12 @@ _PATTERN = re.compile(
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<!\w)\+\d{8,15}(?!\w)"
     r"|(?<![\w+])\+(?=(?:[ .()-]{0,2}\d){8,15}(?![\w]))\d{1,12}(?:[ .-]?\(\d{1,5}\)|[ .-]\d{1,12}){1,7}(?![\w-])|(?<![\w+.-])0\d(?:[ .-]\d{2}){4}(?![\w-]))"
-    r"|(?<!\w)(?P<title>" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.?[  ](?P<person>[^\W\d_]+(?:[-'][^\W\d_]+)*(?: [^\W\d_]+)?)"
+    r"|(?<!\w)(?P<person>" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.?(?=[ \u00a0][^\W\d_])"
 )
+_NAME = re.compile(r"[ \u00a0]([^\W\d_]+(?:[-'’][^\W\d_]+)*)(\.)?")
+_NAME_WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+# Particles inside names.
+PARTICLES = frozenset("de del della di da das dos do la le las los van von der den het ter ten zu zur y e i bin ibn al el".split())
 # Country codes of two digits; 1 and 7 are codes of one digit, all others have three.
 _TWO = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _QUICK = re.compile(r"[@\d]|\b(?:" + "|".join(TITLES) + r")\b")
@@ -75,13 +86,13 @@ def _like(word: str, key: bytes, tweak: str) -> str:
         if c.isdigit():
             out.append(str(low % 10))
         elif c.isalpha():
-            base = unicodedata.normalize("NFD", c)[0]
-            if base.isascii():
+            script = unicodedata.name(c, "").split(" ")[0].split("-")[0]
+            if script == "LATIN":
                 kind = _LATIN[i % 2]
                 new = kind[low % len(kind)]
             else:
                 lower = c.lower()
-                start = {"GREEK": 0x3B1, "CYRILLIC": 0x430, "HEBREW": 0x5D0, "ARABIC": 0x628, "HIRAGANA": 0x3042, "KATAKANA": 0x30A2, "HANGUL": 0xAC00, "CJK": 0x4E00, "DEVANAGARI": 0x915}.get(unicodedata.name(lower, "").split(" ")[0].split("-")[0])
+                start = {"GREEK": 0x3B1, "CYRILLIC": 0x430, "HEBREW": 0x5D0, "ARABIC": 0x628, "HIRAGANA": 0x3042, "KATAKANA": 0x30A2, "HANGUL": 0xAC00, "CJK": 0x4E00, "DEVANAGARI": 0x915}.get(script)
                 new = chr(start + low % (16 if start < 0x4E00 else 256)) if start else lower
             out.append(new.upper() if c.isupper() else new)
         else:
@@ -95,8 +106,8 @@ def _refill(form: str, digits: str) -> str:
 
 
 def canonical(kind: str, value: str) -> str:
-    """What entities must share to be one: mail and hex without case, numbers by their digits."""
-    if kind == "email":
+    """What entities must share to be one: mail, names and hex without case, numbers by their digits."""
+    if kind in ("email", "person", "initial"):
         return value.lower()
     if kind == "ipv6":
         return str(ipaddress.IPv6Address(value))
@@ -114,7 +125,7 @@ def country_code(number: str) -> str:
     return number[1:2] if number[1:2] in ("1", "7") else number[1:3] if number[1:3] in _TWO else number[1:4]
 
 
-def surrogate(kind: str, value: str, key: bytes, turn: int = 0, gender: str = "") -> str:
+def surrogate(kind: str, value: str, key: bytes, turn: int = 0) -> str:
     """The replacement of `value`; a higher `turn` draws another."""
     tweak = f"{kind}{turn or ''}"
     if kind in ("phone", "card", "ssn"):
@@ -159,14 +170,14 @@ def surrogate(kind: str, value: str, key: bytes, turn: int = 0, gender: str = ""
             code, low = divmod(code, 36)
             extra += "0123456789abcdefghijklmnopqrstuvwxyz"[low]
         return f"{name}{extra}@{'.'.join(_like(h, key, tweak) for h in host[:-1])}.{host[-1]}"
-    words = value.split(" ")
-    ends = {"f": "a", "m": "o"}
-    new = [_like(w, key, tweak + gender) for w in words]
+    low = canonical(kind, value)
+    new = _like(low, key, tweak)
     if turn > 3:  # short forms run out; later draws are longer
-        new[0] += _like("en" * (turn - 3), key, tweak + gender + value)
-    if gender in ends and new[0][-1].isascii() and len(new[0]) > 2:
-        new[0] = new[0][:-1] + (ends[gender].upper() if new[0].isupper() else ends[gender])
-    return " ".join(new)
+        new += _like("en" * (turn - 3), key, tweak + low)
+    elif low[-1] in "ao" and len(low) > 2:
+        new = new[:-1] + low[-1]
+    shout = value.isupper() and len(value) > 1
+    return "".join(c.upper() if shout or i < len(value) and value[i].isupper() else c for i, c in enumerate(new))
 
 
 def _is_ipv6(value: str) -> bool:
@@ -176,67 +187,98 @@ def _is_ipv6(value: str) -> bool:
         return False
 
 
-def detect(text) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, gender) of each entity, left to right."""
+def _name(text: str, at: int) -> list[tuple[int, int]]:
+    """Spans of the words of the name that begins at `at` (before its blank): capital words, particles between them left out; of scripts without case two words at most."""
+    out, held = [], at
+    while m := _NAME.match(text, held):
+        word = m[1]
+        held = m.end(1)
+        if word in PARTICLES and out:
+            continue
+        cased = word[0].lower() != word[0].upper()
+        if cased and word[0].islower() or not cased and len(out) == 2:
+            break
+        out.append((m.start(1), m.end(1)))
+        if m[2] and len(word) == 1:  # an initial
+            held = m.end()
+        elif m[2]:
+            break
+    return out
+
+
+def detect(text) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of each entity, left to right; a name gives one for each of its words, and so do its words elsewhere in the text."""
     if not text or not _QUICK.search(text):
         return []
-    out = []
-    for m in _PATTERN.finditer(text):
-        kind = m.lastgroup
+    out, names = [], set()
+    at = 0
+    while m := _PATTERN.search(text, at):
+        kind, at = m.lastgroup, m.end()
         if kind == "person":
-            if unicodedata.category(m["person"][0])[0] != "L" or m["person"][0].islower():
-                continue
-            words = m["person"].split(" ")
-            size = len(m["person"]) if len(words) < 2 or not words[1][0].islower() else len(words[0])
-            out.append((m.start("person"), m.start("person") + size, kind, TITLES[m["title"]]))
+            for a, z in _name(text, m.end()):
+                out.append((a, z, "person" if z - a > 1 else "initial"))
+                if z - a > 2:
+                    names.add(text[a:z])
+                at = z
             continue
         if kind == "ipv6" and not _is_ipv6(m.group()):
             continue
         if kind == "card" and not _luhn(re.sub(r"\D", "", m.group())):
             kind = "phone"
-        out.append((m.start(), m.end(), kind, ""))
+        out.append((m.start(), m.end(), kind))
+    if names:
+        spans = iter([*out, (len(text) + 1, 0, "")])
+        a, z, _ = next(spans)
+        more = []
+        for m in _NAME_WORD.finditer(text):
+            if m.group() not in names:
+                continue
+            while z and z <= m.start():
+                a, z, _ = next(spans)
+            if m.end() <= a:
+                more.append((m.start(), m.end(), "person"))
+        out = sorted(out + more)
     return out
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """(kind, value, gender, n): all distinct entities in their canonical form."""
+    """(kind, value, n): all distinct entities in their canonical form."""
 
     def run(batches):
         for b in batches:
             rows = []
             for t in b.column("text").to_pylist():
-                rows += [(kind, canonical(kind, t[a:z]), gender) for a, z, kind, gender in detect(t)]
-            cols = list(zip(*rows)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["kind", "value", "gender"])
+                rows += [(kind, canonical(kind, t[a:z])) for a, z, kind in detect(t) if kind != "initial"]
+            cols = list(zip(*rows)) if rows else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["kind", "value"])
 
-    return docs.select("text").mapInArrow(run, "kind string, value string, gender string").groupBy("kind", "value", "gender").agg(F.count("*").alias("n"))
+    return docs.select("text").mapInArrow(run, "kind string, value string").groupBy("kind", "value").agg(F.count("*").alias("n"))
 
 
 def _drawn(found: DataFrame, key: bytes) -> DataFrame:
     def run(batches):
         for b in batches:
-            got = [canonical(k, surrogate(k, v, key, t, g)) for k, v, g, t in zip(*(b.column(c).to_pylist() for c in ("kind", "value", "gender", "turn")))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("kind", "value", "gender", "turn")), pa.array(got, pa.string())], ["kind", "value", "gender", "turn", "made"])
+            got = [canonical(k, surrogate(k, v, key, t)) for k, v, t in zip(*(b.column(c).to_pylist() for c in ("kind", "value", "turn")))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("kind", "value", "turn")), pa.array(got, pa.string())], ["kind", "value", "turn", "made"])
 
-    return found.select("kind", "value", "gender", "turn").mapInArrow(run, "kind string, value string, gender string, turn int, made string")
+    return found.select("kind", "value", "turn").mapInArrow(run, "kind string, value string, turn int, made string")
 
 
-def exceptions(found: DataFrame, key: bytes, most_turns: int = 40) -> DataFrame:
-    """Entities whose first surrogate collides with another one's or with a real entity, and the turn that does not."""
+def exceptions(found: DataFrame, key: bytes) -> DataFrame:
+    """Entities whose first surrogate collides with another one's or with a real entity, and the turn that does not. Later turns of names are longer, so there is one."""
     real = found.select("kind", F.col("value").alias("made")).distinct()
     now = durable(_drawn(found.withColumn("turn", F.lit(0)), key))
-    for _ in range(most_turns):
-        first = F.struct("turn", "value", "gender")
+    keys = ["kind", "value"]
+    while True:
+        first = F.struct("turn", "value")
         owner = now.groupBy("kind", "made").agg(F.min(first).alias("owner"), F.count("*").alias("claims"))
-        taken = now.join(owner.where("claims > 1"), ["kind", "made"]).where(first != F.col("owner")).select("kind", "value", "gender")
-        clash = now.join(real, ["kind", "made"], "left_semi").select("kind", "value", "gender")
+        taken = now.join(owner.where("claims > 1"), ["kind", "made"]).where(first != F.col("owner")).select(*keys)
+        clash = now.join(real, ["kind", "made"], "left_semi").select(*keys)
         bad = durable(taken.union(clash).distinct())
         if bad.isEmpty():
-            return now.where("turn > 0").select("kind", "value", "gender", "turn")
-        keys = ["kind", "value", "gender"]
+            return now.where("turn > 0").select(*keys, "turn")
         moved = _drawn(now.join(bad, keys, "left_semi").withColumn("turn", F.col("turn") + 1), key)
         now = durable(now.join(bad, keys, "left_anti").unionByName(moved))
-    raise RuntimeError("surrogates still collide")
 
 
 def replace(text, key: bytes, turns: dict) -> tuple[str | None, list[str]]:
@@ -244,12 +286,12 @@ def replace(text, key: bytes, turns: dict) -> tuple[str | None, list[str]]:
     if not spans:
         return text, []
     out, at = [], 0
-    for a, z, kind, gender in spans:
+    for a, z, kind in spans:
         value = canonical(kind, text[a:z])
-        new = surrogate(kind, value if kind in ("email", "ipv6") else text[a:z], key, turns.get((kind, value, gender), 0), gender)
+        new = surrogate(kind, value if kind in ("email", "ipv6") else text[a:z], key, turns.get((kind, value), 0))
         out += [text[at:a], new]
         at = z
-    return "".join(out) + text[at:], [s[2] for s in spans]
+    return "".join(out) + text[at:], [x[2] for x in spans]
 
 
 _TURNS, _MARK = "__turns", "__text_sha256"
@@ -264,33 +306,39 @@ def _with_turns(docs: DataFrame, odd: DataFrame) -> DataFrame:
             for t in dict.fromkeys(b.column("text").to_pylist()):
                 if spans := detect(t):
                     mark = hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest()
-                    rows += [(mark, *e) for e in dict.fromkeys((kind, canonical(kind, t[a:z]), gender) for a, z, kind, gender in spans)]
-            cols = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], [_MARK, "kind", "value", "gender"])
+                    rows += [(mark, *e) for e in dict.fromkeys((kind, canonical(kind, t[a:z])) for a, z, kind in spans)]
+            cols = list(zip(*rows)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], [_MARK, "kind", "value"])
 
-    held = docs.select("text").mapInArrow(run, f"{_MARK} string, kind string, value string, gender string").dropDuplicates()
-    entry = F.array("kind", "value", "gender", F.col("turn").cast("string"))
-    by = held.join(odd, ["kind", "value", "gender"]).groupBy(_MARK).agg(F.to_json(F.collect_list(entry)).alias(_TURNS))
+    held = docs.select("text").mapInArrow(run, f"{_MARK} string, kind string, value string").dropDuplicates()
+    entry = F.array("kind", "value", F.col("turn").cast("string"))
+    by = held.join(odd, ["kind", "value"]).groupBy(_MARK).agg(F.to_json(F.collect_list(entry)).alias(_TURNS))
     return docs.withColumn(_MARK, F.sha2(F.col("text"), 256)).join(by, _MARK, "left").drop(_MARK)
 
 
-def anonymise(docs: DataFrame, key: bytes = b"meridian", most_exceptions: int = 200_000) -> DataFrame:
-    """`docs` with text replaced, plus n_<kind> counts (long) for each kind and `changed`."""
+def anonymise(docs: DataFrame, key: bytes, most_exceptions: int = 200_000) -> DataFrame:
+    """`docs` with text replaced, plus n_<kind> counts (long) for each kind, with underscores where a column has that name; names are counted by words."""
     spark = docs.sparkSession
     found = durable(entities(docs))
     odd = durable(exceptions(found, key))
     joined = len(few := odd.limit(most_exceptions + 1).collect()) > most_exceptions
-    turns = spark.sparkContext.broadcast({} if joined else {(r["kind"], r["value"], r["gender"]): r["turn"] for r in few})
+    turns = spark.sparkContext.broadcast({} if joined else {(r["kind"], r["value"]): r["turn"] for r in few})
     names = docs.columns
     fed = _with_turns(docs, odd) if joined else docs
-    extra = [f"n_{k}" for k in KINDS if f"n_{k}" not in docs.columns]
+    low = {n.lower() for n in names}
+    extra = {}
+    for k in KINDS:
+        n = f"n_{k}"
+        while n in low:
+            n += "_"
+        extra[n] = k
 
     def run(batches):
-        for b in batches:
-            own = [{tuple(x[:3]): int(x[3]) for x in json.loads(o or "[]")} for o in b.column(_TURNS).to_pylist()] if joined else [turns.value] * b.num_rows
+        for b in small(batches):
+            own = [{tuple(x[:2]): int(x[2]) for x in json.loads(o or "[]")} for o in b.column(_TURNS).to_pylist()] if joined else [turns.value] * b.num_rows
             got = [replace(t, key, o) for t, o in zip(b.column("text").to_pylist(), own)]
             cols = [pa.array([g[0] for g in got], pa.string()) if n == "text" else b.column(n) for n in names]
-            counts = [pa.array([g[1].count(n[2:]) for g in got], pa.int64()) for n in extra]
+            counts = [pa.array([g[1].count(k) for g in got], pa.int64()) for k in extra.values()]
             yield pa.RecordBatch.from_arrays([*cols, *counts], [*names, *extra])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{n} long" for n in extra])

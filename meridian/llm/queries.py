@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from . import chat, decontam, fingerprint, jaccard, langid, mixing, pii, secrets, sharding, toxicity
 from ._common import table
 
@@ -39,7 +41,9 @@ def op7_decontamination(spark, sf_dir):
 
 
 def op8_pii_surrogates(spark, sf_dir):
-    return pii.anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Under the key that the session names; without one, under a new key that nobody keeps."""
+    named = spark.conf.get("spark.meridian.pii.key", None)
+    return pii.anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), named.encode() if named else os.urandom(32))
 
 
 def op9_jaccard_join(spark, sf_dir):
@@ -52,9 +56,9 @@ def op10_toxicity(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_chat_formatting, op4_sharding, op5_fingerprints, op6_secret_scan, op7_decontamination, op8_pii_surrogates, op9_jaccard_join, op10_toxicity)}
 
-_ESC = r"replace(replace(replace({0}, '\', '\\'), '###', '\h##'), '</turn>', '\l/turn>')"
-# The rendered text is longer by the marks of each turn and, where a conversation needs escapes, by those.
-_NEEDS = r"(contains({0}, ' </turn>' || chr(10)) OR contains({0}, '\\') OR contains({0}, '\h') OR contains({0}, '\l') OR contains({0}, '\n') OR contains({0}, '\c'))"
+_ESC = r"replace(replace(replace({0}, '\', '\\'), '###', '\h\h\h'), '</turn>', '\l/turn>')"
+# Where a role of the conversation holds a colon and a blank, the roles' colons and line feeds are escaped too.
+_ROLE = r"CASE WHEN conflict THEN replace(replace({0}, chr(10), '\n'), ':', '\c') ELSE {0} END".format(_ESC.format("role"))
 
 ORACLE: dict[str, str] = {
     "op3_chat_formatting": rf"""
@@ -63,11 +67,11 @@ WITH rows AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 marked AS (
-  SELECT *, bool_or({_NEEDS.format("text")} OR contains(role, ': ')) OVER (PARTITION BY conv_id) AS escaped FROM rows)
+  SELECT *, bool_or(contains(role, ': ')) OVER (PARTITION BY conv_id) AS conflict FROM rows)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(4 + length(role) + 2 + length(CASE WHEN escaped THEN {_ESC.format("text")} ELSE text END) + 9) AS BIGINT) AS formatted_chars
+  CAST(sum(4 + length({_ROLE}) + 2 + length({_ESC.format("text")}) + 9) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id""",
 }
