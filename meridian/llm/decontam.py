@@ -1,26 +1,33 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched by every passage of the corpus.
 
 Items are documents of the index, grouped in blocks; postings keep BM25 impacts (as shares of the item's own best
-score) and, per block, the largest impact of each term. A passage (a window of `2 * stride` words, every `stride` words, with
-stride at least the longest item) is a query. First its bound for each block is summed from block maxima of the
-essential postings (those without which no item can reach the threshold) plus the most the others can add; blocks
-under the threshold are skipped, the others scored exactly, and all items at or above it are retrieved. Window sums
-come from vectorised passes over a batch rather than a cursor per passage, with block-max WAND's skipping rule for a fixed
-threshold. Each retrieved pair is verified against the words of the passage: the five-word shingles of the item must occur
-there to `least_overlap`, and both its question part and its answer part (the last sentence) to `least_part`.
-
-Items are searched in blocks of at most `items_at_once`, each broadcast alone, so a larger benchmark means more
-passes, not more memory.
+score) and, per term, the largest impact of the list and of each block. A passage (a window of `2 * stride` words, every `stride`
+words, with stride at least the longest item) is a query. First its bound for each block is summed from block maxima of the
+essential postings (those without which no item can reach the threshold) plus the most the others can add, for a batch of
+passages at once; passages without a block at the threshold leave there. Every other passage is searched by block-max WAND: its
+terms' cursors are kept in the order of their items, the pivot is the first item at which the list maxima add up to the threshold,
+block maxima at the pivot decide whether to skip to the next block or to score, and all items at or above the threshold are
+retrieved. Each retrieved pair is verified against the words of the passage: the five-word shingles of the item must occur
+there to `least_overlap`, and those of its question part and of its answer part (the last sentence) each to `least_part`; a part
+of fewer than five words is one shingle of all its words.
+
+BM25's counts are those of the whole benchmark. Items are searched in blocks of at most `items_at_once`; a block's index is
+broadcast alone and its result written before the next one, so a larger benchmark means more passes, not more memory.
 
 Words are compared in lower case and without ASCII punctuation, so a passage set into a sentence still matches.
 
-Defined results: null or empty texts and items, and those without words, match nothing; an item of fewer than five words must occur as a whole;
-repeated rows and items are reported once each per (doc_id, item_id); empty tables give an empty result; other columns are ignored.
+Defined results: null or empty texts and items, and those without words, match nothing; texts of any length are searched whole; an
+item of fewer than five words must occur as a whole; each (doc_id, item_id) is reported once, with the numbers of its best
+passage (by score, then overlap), so repeated rows and items come once and rows with a null doc_id are reported together; ties
+between items are all retrieved; empty tables give an empty result; other columns are ignored by `find` and kept as they are by
+`keep_clean`, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, mix64, slabs, small, word_hashes
+from ._common import as_bytes, durable, mix64, slabs, small, word_hashes
 
 SCHEMA = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -47,11 +54,20 @@ class Index:
     post_impact: np.ndarray
     width: int
     stride: int
-    shingles: list
-    question: list
-    answer: list
+    parts: list  # per item: the shingles of the whole, of its question and of its answer
     kept: dict = field(default_factory=dict)
 
+    def lists(self, k: int) -> tuple:
+        """Of a term: its items, their impacts, the largest one, and the largest of each block of items that it meets (kept once made)."""
+        if ("list", k) not in self.kept:
+            a, z = self.post_at[k], self.post_at[k + 1]
+            items, impacts = self.post_item[a:z].tolist(), self.post_impact[a:z].tolist()
+            most: dict[int, float] = {}
+            for i, x in zip(items, impacts):
+                most[i // self.width] = max(most.get(i // self.width, 0.0), x)
+            self.kept["list", k] = items, impacts, max(impacts), most
+        return self.kept["list", k]
+
     def essential(self, threshold: float):
         """Block maxima (offsets by term, blocks, largest impacts) of the essential postings, and per block the most that the others can add.
 
@@ -83,14 +99,18 @@ def plain(texts) -> list[bytes]:
     return [t.translate(_PLAIN) for t in as_bytes([t.lower() if t else t for t in texts])]
 
 
-def _shingles(h: np.ndarray, n: int = 5) -> np.ndarray:
-    if not len(h):
-        return np.zeros(0, np.uint64)
-    n = min(n, len(h))
-    out = np.zeros(len(h) - n + 1, np.uint64)
+def _grams(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words."""
+    out = np.zeros(max(len(h) - n + 1, 0), np.uint64)
     for j in range(n):
         out = out * np.uint64(0xD6E8FEB86659FD93) + h[j : j + len(out)]
-    return np.unique(mix64(out))
+    return mix64(out)
+
+
+def _part(h: np.ndarray) -> tuple[int, np.ndarray]:
+    """The distinct shingles of a part: of five words, or one of all its words; with their length."""
+    n = min(5, len(h))
+    return n, np.unique(_grams(h, n)) if n else h
 
 
 @dataclass
@@ -142,15 +162,13 @@ def build(items: list[tuple[int, str]], width: int = 8, stride: int = 64, k1: fl
     best = np.bincount(item, impact, len(items))
     impact = impact / np.maximum(best[item], 1e-12)
     post_at = np.concatenate([[0], np.cumsum(df)])
-    shingles, question, answer = [], [], []
+    cut = []
     for k, (_, t) in enumerate(items):
         words = h[at[k] : at[k + 1]]
         parts = [n for x in plain(_SENTENCE.split(t.strip())) if (n := len(x.split()))]
         tail = parts[-1] if len(parts) > 1 else max(1, len(words) // 4)
-        shingles.append(_shingles(words))
-        question.append(_shingles(words[: len(words) - tail]))
-        answer.append(np.unique(words[len(words) - tail :]))
-    return Index(np.array([i for i, _ in items], np.int64), terms, post_at, item, impact, width, max(stride, counts.longest), shingles, question, answer)
+        cut.append((_part(words), _part(words[: len(words) - tail]), _part(words[len(words) - tail :])))
+    return Index(np.array([i for i, _ in items], np.int64), terms, post_at, item, impact, width, max(stride, counts.longest), cut)
 
 
 def _spread(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,27 +199,60 @@ def search(index: Index, texts: list[bytes], threshold: float):
     alive = keys[np.bincount(inverse, block_max[entry], len(keys)) + rest[keys % n_blocks] >= threshold - 1e-9]
     if not len(alive):
         return empty
-    # exact scores in the blocks left
+    # the cursors of every passage that is left
     live = np.unique(alive // n_blocks)
     start = at[doc := np.searchsorted(cells, live, "right") - 1] + (live - cells[doc]) * index.stride
     end = np.minimum(start + 2 * index.stride, at[doc + 1])
     size = end - start
     spots = np.unique(np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
     passage, word = _queries(index, h, at, cells, spots)
-    among = np.isin(passage, live)
-    passage, word = passage[among], word[among]
-    entry, who = _spread(index.post_at, word)
-    item = index.post_item[entry]
-    keep = np.isin(passage[who] * n_blocks + item // index.width, alive)
-    entry, who, item = entry[keep], who[keep], item[keep]
-    keys, inverse = np.unique(passage[who] * np.int64(len(index.ids)) + item, return_inverse=True)
-    score = np.bincount(inverse, index.post_impact[entry], len(keys))
-    hit = score >= threshold - 1e-9
-    keys, score = keys[hit], score[hit]
-    passage, item = keys // len(index.ids), keys % len(index.ids)
-    doc = np.searchsorted(cells, passage, "right") - 1
-    start = at[doc] + (passage - cells[doc]) * index.stride
-    return doc, item, score, start, np.minimum(start + 2 * index.stride, at[doc + 1]), h, at
+    ends = np.searchsorted(passage, live, "right")
+    got = [wand(index, word[a:z].tolist(), threshold) for a, z in zip(np.searchsorted(passage, live), ends)]
+    n = np.array([len(g) for g in got])
+    item = np.array([i for g in got for i, _ in g], np.int64)
+    score = np.array([x for g in got for _, x in g], float)
+    return np.repeat(doc, n), item, score, np.repeat(start, n), np.repeat(end, n), h, at
+
+
+def wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
+    """(item, score) of all items whose impacts over these terms reach the threshold, by block-max WAND."""
+    cursors = [[items[0], 0, items, impacts, top, most] for items, impacts, top, most in map(index.lists, terms)]
+    cursors.sort(key=lambda c: c[0])
+    threshold -= 1e-9
+    out, width = [], index.width
+
+    def settle(moved: int, target: int) -> None:
+        """Move the first cursors to the target or beyond, drop those that end, and restore the order."""
+        for c in cursors[:moved]:
+            if c[0] < target:
+                c[1] = bisect_left(c[2], target, c[1])
+                c[0] = c[2][c[1]] if c[1] < len(c[2]) else -1
+        cursors[:] = [c for c in cursors if c[0] >= 0]
+        cursors.sort(key=lambda c: c[0])
+
+    while cursors:
+        bound, p = 0.0, -1
+        for p, c in enumerate(cursors):
+            bound += c[4]
+            if bound >= threshold:
+                break
+        if bound < threshold:
+            break
+        pivot = cursors[p][0]
+        while p + 1 < len(cursors) and cursors[p + 1][0] == pivot:
+            p += 1
+        block = pivot // width
+        if sum(c[5].get(block, 0.0) for c in cursors[: p + 1]) < threshold:  # nothing before the next block, or the next list, can reach it
+            far = (block + 1) * width
+            settle(p + 1, min(far, cursors[p + 1][0]) if p + 1 < len(cursors) else far)
+        elif cursors[0][0] == pivot:
+            score = math.fsum(c[3][c[1]] for c in cursors[: p + 1])
+            if score >= threshold:
+                out.append((pivot, score))
+            settle(p + 1, pivot + 1)
+        else:
+            settle(p + 1, pivot)
+    return out
 
 
 def _queries(index: Index, h, at, cells, spots) -> tuple[np.ndarray, np.ndarray]:
@@ -220,20 +271,21 @@ def matches(index: Index, texts: list[bytes], threshold: float, least_overlap: f
     """Verified hits: (text, item id, score, overlap, question overlap, answer overlap), the best passage of each pair."""
     doc, item, score, start, end, h, _ = search(index, texts, threshold)
     best: dict[tuple[int, int], tuple] = {}
-
-    def share(want, have):
-        return float(np.isin(want, have).mean()) if len(want) else 1.0
-
-    for d, i, s, a, e in zip(doc, item, score, start, end):
-        words = h[a:e]
-        overlap = share(index.shingles[i], _shingles(words, min(5, max(1, len(words)))) if len(index.shingles[i]) > 1 else np.concatenate([_shingles(words, n) for n in range(1, 6)]))
-        if overlap < least_overlap:
-            continue
-        q, w = share(index.question[i], _shingles(words)), share(index.answer[i], words)
-        if min(q if len(index.question[i]) > 1 else 1.0, w) >= least_part:
-            got = (float(s), overlap, q, w)
+    for d, i, s, a, e in zip(doc.tolist(), item.tolist(), score.tolist(), start.tolist(), end.tolist()):
+        known: dict[int, np.ndarray] = {}
+
+        def share(n, want, a=a, e=e, known=known):
+            if not n:
+                return 1.0
+            if n not in known:
+                known[n] = _grams(h[a:e], n)
+            return float(np.isin(want, known[n]).mean())
+
+        overlap, q, w = (share(*part) for part in index.parts[i])
+        if overlap >= least_overlap and min(q, w) >= least_part:
+            got = (s, overlap, q, w)
             best[d, i] = max(best.get((d, i), got), got)
-    return [(int(d), int(index.ids[i]), *got) for (d, i), got in best.items()]
+    return [(d, int(index.ids[i]), *got) for (d, i), got in best.items()]
 
 
 def item_blocks(benchmark: DataFrame, items_at_once: int):
@@ -248,37 +300,51 @@ def item_blocks(benchmark: DataFrame, items_at_once: int):
         yield block
 
 
-def _indexes(spark, benchmark, items_at_once):
+def _in_turn(spark, benchmark, items_at_once, one):
+    """one(index) for each block of items, written before the next index is made if there are several; the last or only result stays lazy."""
     counts = count(item_blocks(benchmark, items_at_once))
-    return [spark.sparkContext.broadcast(build(block, counts=counts)) for block in item_blocks(benchmark, items_at_once)]
+    left = -(-counts.items // items_at_once)
+    for block in item_blocks(benchmark, items_at_once):
+        index = spark.sparkContext.broadcast(build(block, counts=counts))
+        got = one(index)
+        left -= 1
+        if left > 0:
+            got = durable(got)
+            index.unpersist()
+        yield got
 
 
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, least_overlap: float = 0.8, least_part: float = 0.6, items_at_once: int = 20_000) -> DataFrame:
     """One row per document and item whose passage it holds."""
     spark = docs.sparkSession
-    out = spark.createDataFrame([], SCHEMA)
-    for index in _indexes(spark, benchmark, items_at_once):
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-        def run(batches, index=index):
+    def one(index):
+        def run(batches):
             for b in small(batches):
                 ids = b.column("doc_id")
                 texts = plain(b.column("text").to_pylist())
                 rows = []
                 for lo, hi in slabs(texts):
                     rows += [(ids[lo + d].as_py(), *rest) for d, *rest in matches(index.value, texts[lo:hi], threshold, least_overlap, least_part)]
-                rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
                 cols = list(zip(*rows)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:]]], ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
 
-        out = out.unionByName(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA))
-    return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "overlap", "question_overlap", "answer_overlap")])
+        return own.mapInArrow(run, SCHEMA)
+
+    out = spark.createDataFrame([], SCHEMA)
+    for part in _in_turn(spark, benchmark, items_at_once, one):
+        out = out.unionByName(part)
+    best = F.max(F.struct("score", "overlap", "question_overlap", "answer_overlap")).alias("best")
+    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, least_overlap: float = 0.8, least_part: float = 0.6, items_at_once: int = 20_000) -> DataFrame:
     """`docs` without the documents that hold a benchmark passage, all columns as they are."""
-    for index in _indexes(docs.sparkSession, benchmark, items_at_once):
+    state = [docs]
 
-        def run(batches, index=index):
+    def one(index):
+        def run(batches):
             for b in small(batches):
                 texts = plain(b.column("text").to_pylist())
                 bad = set()
@@ -286,5 +352,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, le
                     bad |= {lo + m[0] for m in matches(index.value, texts[lo:hi], threshold, least_overlap, least_part)}
                 yield b.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        state[0] = state[0].mapInArrow(run, docs.schema)
+        return state[0]
+
+    for state[0] in _in_turn(docs.sparkSession, benchmark, items_at_once, one):
+        pass
+    return state[0]
