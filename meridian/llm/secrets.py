@@ -2,12 +2,15 @@
 
 Fixed patterns (`assign`, `access`, `hex`) give the base spans. Besides, every long token of the secret alphabet is scored by two
 first-order Markov models over characters, one of random strings and one of ordinary identifiers, trained by counting pairs in
-labelled samples; tokens whose ratio passes a threshold become `markov` spans unless they touch a base span.
+labelled samples. The threshold is fitted on labelled samples of their own: the least ratio that at most `most_false` of the ordinary
+ones reach. Tokens at or above it become `markov` spans unless they touch a base span.
 
 All positions are code points, end exclusive, found by cutting the text at the matches and adding up lengths.
 
-Defined results: null text counts as empty and has no spans; equal texts get equal spans; a character outside the alphabet
-never is part of a markov token; an empty table gives an empty result; other columns are ignored.
+Defined results: null text counts as empty and has no spans; texts of any length are scanned whole; equal texts get equal spans, so
+repeated rows do; rows with a null doc_id are scanned and trained on like others; a character outside the alphabet never is part of a
+markov token; without documents to train on the ordinary model knows no pair and every pair counts alike in it; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import constant_array, let
+from ._common import constant_array, durable, let
 
 # The base patterns, in the order of their kinds, with the least length of the group that counts.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -24,6 +27,7 @@ PATTERNS = (("assign", ASSIGN, 2, 12), ("access", r"AKIA[A-Z0-9]+", 0, 18), ("he
 #: The same matches found sooner: of runs that end only where the class ends, those long enough are the long matches.
 FAST = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+DISTINCT = 8  # rules and runs of few characters are no random strings, which pairs alone do not tell
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SPAN = "array<struct<start:int,end:int,rank:int,kind:string>>"
 
@@ -55,13 +59,16 @@ def random_samples(n: int = 4000, seed: int = 17) -> list[str]:
     return ["".join(rng.choice(list(sets[i % len(sets)]), int(rng.integers(20, 48)))) for i in range(n)]
 
 
-def ordinary_samples(docs: DataFrame, documents: int = 200) -> DataFrame:
-    """Labelled identifiers from about `documents` documents (picked by a hash of doc_id): words alone and in pairs, as
-    snake_case, camelCase, kebab-case, paths and capitals, or with a number."""
+def ordinary_samples(docs: DataFrame, documents: int = 200, pairs: int = 20_000) -> DataFrame:
+    """Labelled identifiers from the pairs of words of about `documents` distinct documents, `pairs` pairs at most (both picked by a
+    hash): words alone and together, as snake_case, camelCase, kebab-case, paths and capitals, or with a number."""
+    text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64("text").alias("mark"))
     n = docs.count()
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(float(1 << 30) * min(1.0, documents / max(n, 1))))
-    pair = picked.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z]{2,}[^A-Za-z]+[A-Za-z]{2,}"), F.lit(0))).alias("pair"))
-    a, b = F.regexp_extract("pair", r"^[A-Za-z]+", 0), F.regexp_extract("pair", r"[A-Za-z]+$", 0)
+    picked = text.where(F.pmod("mark", F.lit(1 << 30)) < F.lit(float(1 << 30) * min(1.0, documents / max(n, 1))))
+    pair = picked.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z])[A-Za-z]{2,}+[^A-Za-z]++[A-Za-z]{2,}"), F.lit(0))).alias("pair"))
+    pair = pair.select(F.regexp_extract("pair", r"^[A-Za-z]+", 0).alias("a"), F.regexp_extract("pair", r"[A-Za-z]+$", 0).alias("b")).distinct()
+    pair = pair.orderBy(F.xxhash64("a", "b"), "a", "b").limit(pairs)
+    a, b = F.col("a"), F.col("b")
     forms = [a, F.concat_ws("_", a, b), F.concat(a, F.initcap(b)), F.concat_ws("-", a, b), F.concat_ws("/", a, b), F.upper(F.concat_ws("_", a, b)), F.concat(a, b, F.length(a).cast("string")), F.concat(a, b)]
     return pair.select(F.explode(F.array(*forms)).alias("sample"))
 
@@ -87,9 +94,15 @@ def ratios(random_: np.ndarray, ordinary: np.ndarray, smooth: float = 0.5) -> np
     return log(random_) - log(ordinary)
 
 
-def train(spark: SparkSession, docs: DataFrame) -> np.ndarray:
+def train(spark: SparkSession, docs: DataFrame, most_false: float = 0.001) -> tuple[np.ndarray, float]:
+    """The table of ratios and the threshold, each fitted on its half of the labelled samples (dealt by a hash)."""
     drawn = spark.createDataFrame([(s,) for s in random_samples()], "sample string")
-    return ratios(pair_counts(drawn), pair_counts(ordinary_samples(docs)))
+    plain = durable(ordinary_samples(docs))
+    half = F.pmod(F.xxhash64("sample"), F.lit(2))
+    table = ratios(pair_counts(drawn.where(half == 0)), pair_counts(plain.where(half == 0)))
+    long_ = plain.where((half == 1) & F.col("sample").rlike(f"^{TOKEN}$"))
+    reached = long_.agg(F.percentile_approx(token_score(F.col("sample"), table), 1 - most_false, 100_000)).first()[0]
+    return table, max(float(reached) if reached is not None else 0.0, 0.0) + 1e-6
 
 
 def token_score(token: Column, table: np.ndarray) -> Column:
@@ -106,21 +119,20 @@ def token_score(token: Column, table: np.ndarray) -> Column:
 
 
 def markov_spans(text: Column, table: np.ndarray, threshold: float, rank: int) -> Column:
-    """Spans of tokens that the random model explains better, by `threshold` a pair on the mean. A token must mix letters with digits or cases."""
+    """Spans of tokens that the random model explains better, by `threshold` a pair on the mean."""
     found = spans(text, "markov", rank, TOKEN, 0, 20)
 
     def odd(s):
         token = F.substr(text, s["start"] + 1, s["end"] - s["start"])
-        mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]") | token.rlike("[a-z][A-Z].*[a-z][A-Z].*[a-z][A-Z]")
-        return mixed & (token_score(token, table) >= threshold)
+        return (F.size(F.array_distinct(F.split(token, ""))) >= DISTINCT) & (token_score(token, table) >= threshold)
 
     return F.filter(found, odd)
 
 
-def scan(docs: DataFrame, threshold: float = 1.0, table: np.ndarray | None = None) -> DataFrame:
-    """doc_id, text, base (spans by start, then kind) and all_spans (with the markov spans that touch no base span)."""
-    if table is None:
-        table = train(docs.sparkSession, docs)
+def scan(docs: DataFrame, table: np.ndarray | None = None, threshold: float | None = None) -> DataFrame:
+    """doc_id, text, base (spans by start, then kind) and all_spans (with the markov spans that touch no base span). What is not given is fitted on `docs`."""
+    if table is None or threshold is None:
+        table, threshold = train(docs.sparkSession, docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     t = F.col("text")
