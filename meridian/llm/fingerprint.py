@@ -6,13 +6,16 @@ every text, until it meets a filled one. Of each rank only the low BITS bits are
 two fingerprints is the share of equal bins, corrected for the chance that unequal ranks share their low bits.
 
 Defined results: null text counts as empty; an empty or wordless text has an empty fingerprint, alike (1) to another such and
-unlike (0) to all others; a text of fewer than five words is one shingle of all its words; equal texts have equal fingerprints;
-an empty table gives an empty result; other columns are ignored. Words are runs of characters other than ASCII white space.
+unlike (0) to all others; a text of fewer than five words is one shingle of all its words; texts of any length are read whole; equal texts have equal
+fingerprints; rows with a null doc_id come last in the order, and rows of one doc_id follow each other by a hash of their text, so
+repeated rows are each other's next; an empty table gives an empty result; other columns are ignored, whatever their names. Words are
+runs of characters other than ASCII white space.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -105,36 +108,46 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, columns: list[str], rows_per_stretch: int = 256, most_stretches: int = 1 << 16) -> DataFrame:
     """`docs` (doc_id and `columns`) with next_<column>: the values of the next row by descending doc_id (after the last: the first).
 
-    The ids are cut into stretches at approximate quantiles, two levels of at most 256 bounds. Inside a stretch `lead` finds the
-    next row; a stretch's last row gets the first row of the next stretch, read by its id. Ties go by the columns themselves.
+    The ids are cut into stretches at approximate quantiles, two levels of at most 256 bounds; an id that fills several of them, and
+    the rows without one, are cut further by a hash of the first column. Inside a stretch `lead` finds the next row; a stretch's last
+    row gets the first row of the next stretch, read by its id and hash. Rows of one id go by that hash, then by the columns.
     """
-    n = docs.count()
+    n, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
     width = min(256, max(1, math.ceil(math.sqrt(min(most_stretches, max(1, n / rows_per_stretch))))))
     parts = width * width
     asked = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(docs.select(F.percentile_approx("doc_id", asked, 4 * parts + 100)).first()[0] or [])) if asked else []
+    cuts = docs.select(F.percentile_approx("doc_id", asked, 4 * parts + 100)).first()[0] or [] if asked else []
+    bounds = sorted(set(cuts))
     groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    id_ = F.col("doc_id")
     if groups:
         heads = F.array(*[F.lit(g[0]) for g in groups])
         inner = F.array(*[F.array(*[F.lit(x) for x in g]) for g in groups])
-        head = F.size(F.filter(heads, lambda x: x <= F.col("doc_id")))
-        stretch = F.when(F.col("doc_id").isNull(), F.lit(-1)).when(head == 0, F.lit(0)).otherwise((head - 1) * width + 1 + F.size(F.filter(F.get(inner, head - 1), lambda x: x <= F.col("doc_id"))))
+        head = F.size(F.filter(heads, lambda x: x <= id_))
+        stretch = F.when(id_.isNull(), F.lit(-1)).when(head == 0, F.lit(0)).otherwise((head - 1) * width + 1 + F.size(F.filter(F.get(inner, head - 1), lambda x: x <= id_)))
     else:
-        stretch = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.lit(0))
-    order = [F.col("doc_id").desc_nulls_last(), *[F.col(c).asc() for c in columns]]
-    cut = docs.select("doc_id", *columns, stretch.alias("stretch"))
-    firsts = docs.select("doc_id", stretch.alias("stretch")).groupBy("stretch").agg(F.max("doc_id").alias("first_id")).orderBy(F.desc("stretch")).collect()  # one row a stretch
-    ids = [r["first_id"] for r in firsts]
-    has_null = None in ids
-    known = [i for i in ids if i is not None]
-    at_head = docs.where(F.col("doc_id").isin(known) | F.col("doc_id").isNull()) if has_null else docs.where(F.col("doc_id").isin(known))
-    head = at_head.withColumn("__n", F.row_number().over(W.partitionBy("doc_id").orderBy(*[F.col(c).asc() for c in columns]))).where("__n = 1")
-    after = [(r["stretch"], ids[(k + 1) % len(ids)]) for k, r in enumerate(firsts)]
-    after = docs.sparkSession.createDataFrame(after, "after_stretch int, head_id long")
-    head = after.join(head.withColumnRenamed("doc_id", "of_id"), F.col("head_id").eqNullSafe(F.col("of_id"))).select("after_stretch", F.struct(*columns).alias("__head"))
-    w = W.partitionBy("stretch").orderBy(*order)
-    led = cut.withColumn("__next", F.lead(F.struct(*columns)).over(w)).withColumn("__last", F.row_number().over(w) == F.count("*").over(W.partitionBy("stretch")))
-    joined = led.join(head, (F.col("stretch") == F.col("after_stretch")) & F.col("__last"), "left")
+        stretch = F.when(id_.isNull(), F.lit(-1)).otherwise(F.lit(0))
+    rank = F.xxhash64(columns[0])
+    times = {x: k for x, k in Counter(cuts).items() if k > 1}
+    often = F.when(id_.isNull(), F.lit(max(1, min(parts, math.ceil(nulls / rows_per_stretch)))))
+    if times:
+        often = often.when(id_.isin(list(times)), F.element_at(F.create_map(*[F.lit(v) for kv in times.items() for v in kv]), id_))
+    share = F.shiftright(rank, 40) + F.lit(1 << 23)  # 24 bits, in the order of the hash
+    sub = F.floor(share * often.otherwise(F.lit(1)) / F.lit(1 << 24)).cast("int")
+    cut = docs.select("doc_id", *columns, stretch.alias("stretch"), sub.alias("sub"), rank.alias("rank"))
+    first = F.max(F.struct("doc_id", F.bitwise_not("rank").alias("unrank"))).alias("first")
+    firsts = cut.groupBy("stretch", "sub").agg(first).orderBy(F.desc("stretch"), "sub").collect()  # one row a stretch
+    after = [(r["stretch"], r["sub"], *(lambda x: (x["stretch"], x["sub"], ~x["first"]["unrank"]))(firsts[(k + 1) % len(firsts)])) for k, r in enumerate(firsts)]
+    after = docs.sparkSession.createDataFrame(after, "stretch int, sub int, next_stretch int, next_sub int, next_rank long")
+    known = [r["first"]["doc_id"] for r in firsts if r["first"]["doc_id"] is not None]
+    at_head = cut.where((id_.isin(known) | id_.isNull()) & F.col("rank").isin([~r["first"]["unrank"] for r in firsts])) if firsts else cut
+    order = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("back"), *columns)
+    head = at_head.groupBy(*[F.col(c).alias(f"next_{c}") for c in ("stretch", "sub", "rank")]).agg(F.min_by(F.struct(*columns), order).alias("__head"))
+    head = after.join(head, ["next_stretch", "next_sub", "next_rank"]).select("stretch", "sub", "__head")
+    w = W.partitionBy("stretch", "sub").orderBy(id_.desc_nulls_last(), "rank", *[F.col(c).asc() for c in columns])
+    led = cut.withColumn("__next", F.lead(F.struct(*columns)).over(w)).withColumn("__last", F.row_number().over(w) == F.count("*").over(W.partitionBy("stretch", "sub")))
+    head = head.select(F.col("stretch").alias("of_stretch"), F.col("sub").alias("of_sub"), "__head")
+    joined = led.join(head, (F.col("stretch") == F.col("of_stretch")) & (F.col("sub") == F.col("of_sub")) & F.col("__last"), "left")
     following = F.when(F.col("__last"), F.col("__head")).otherwise(F.col("__next"))
     return joined.withColumn("__following", following).select("doc_id", *columns, *[F.col(f"__following.{c}").alias(f"next_{c}") for c in columns])
 
