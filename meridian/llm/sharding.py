@@ -6,7 +6,8 @@ The table (a prime number of slots, fixed by a parameter and hence bounded) is b
 hashes its key to a slot and reads the owner.
 
 Defined results: a null key hashes as its own value, so such rows share one slot only if their texts are
-equal too (the text is the fallback key); repeated rows land on one shard; an empty table gives an empty result.
+equal too (the text is the fallback key); texts of any length are kept whole; repeated rows land on one shard; an empty table gives
+an empty result; other columns are kept as they are, and slot and shard take as many underscores as they need to be new names.
 """
 
 from __future__ import annotations
@@ -59,20 +60,36 @@ def slot_of(key, fallback, slots: int):
     return F.pmod(F.when(key.isNull(), F.xxhash64(F.lit("no key"), fallback)).otherwise(F.xxhash64(key)), F.lit(slots)).cast("int")
 
 
+def free_names(taken: list[str]) -> dict[str, str]:
+    """slot and shard, with underscores until no column has that name (in any case)."""
+    low, out = {c.lower() for c in taken}, {}
+    for n in ("slot", "shard"):
+        out[n] = n
+        while out[n].lower() in low:
+            out[n] += "_"
+        low.add(out[n].lower())
+    return out
+
+
 def place(docs: DataFrame, n_shards: int = 64, slots: int = SLOTS) -> DataFrame:
-    """`docs` with its columns as they are, plus slot and shard (renamed slot_, shard_ where the names are taken)."""
+    """`docs` with its columns as they are, plus slot and shard (with underscores where the names are taken)."""
     spark = docs.sparkSession
     owner = fill([f"shard-{k:05d}" for k in range(n_shards)], slots)
-    names = {n: n if n not in docs.columns else n + "_" for n in ("slot", "shard")}
+    names = free_names(docs.columns)
     lookup = spark.createDataFrame([(int(s), int(k)) for s, k in enumerate(owner)], f"`{names['slot']}` int, `{names['shard']}` int")
     placed = docs.withColumn(names["slot"], slot_of(F.col("doc_id"), F.col("text"), slots))
     joined = placed.join(F.broadcast(lookup), names["slot"], "left")
-    return joined.select(*docs.columns, names["slot"], names["shard"])
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], names["slot"], names["shard"])
+
 
+def write_shards(docs: DataFrame, path: str, n_shards: int = 64, slots: int = SLOTS, file_bytes: int = 256 << 20) -> None:
+    """Write one folder per shard, in files of about `file_bytes` of text; as many tasks as files, so no task holds a whole shard.
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 64, slots: int = SLOTS, files_per_shard: int = 8) -> None:
-    """Write one folder per shard; each is dealt over `files_per_shard` tasks, so no task holds a whole shard."""
+    Files of a shard are dealt by a hash of the row; rows alike in doc_id and text share a file.
+    """
     out = place(docs, n_shards, slots)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    files = max(1, -(-size // (n_shards * file_bytes)))
     shard = out.columns[-1]
-    deal = F.pmod(F.xxhash64("doc_id", "text"), F.lit(files_per_shard))
-    out.repartition(n_shards * files_per_shard, shard, deal).write.partitionBy(shard).mode("overwrite").parquet(path)
+    deal = F.pmod(F.xxhash64("doc_id", "text"), F.lit(files))
+    out.repartition(n_shards * files, F.col(shard), deal).write.partitionBy(shard).mode("overwrite").parquet(path)
