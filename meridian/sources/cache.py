@@ -14,28 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from . import objects
+from .errors import CacheMiss, FetchError, IntegrityError, Offline
 from .jobs import JobError, JobService
 from .registry import Registry
 
 MANIFESTS = "schema string, url string, etag string, last_modified string, sha256_content string, bytes long, fetched_at string, source_loader string, auth_realm string"
 
 
-class CacheMiss(LookupError):
-    """An object is not in the cache and must not be fetched."""
-
-
-class FetchError(OSError):
-    """No candidate served the object; not_found only if every one surely lacks it."""
-
-    def __init__(self, message, not_found):
-        super().__init__(message)
-        self.not_found = not_found
-
-
-class IntegrityError(ValueError):
-    """A cached object is not what its manifest says."""
-
-
 @dataclass(frozen=True)
 class Fetched:
     """status: "ok", "not_modified", "absent" (surely) or "unknown"; validators are those the server gave."""

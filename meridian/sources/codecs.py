@@ -8,8 +8,10 @@ import zlib
 
 import numpy as np
 
+from .errors import MeridianError
 
-class Unsupported(NotImplementedError):
+
+class Unsupported(MeridianError, NotImplementedError):
     """A codec, type or layout this engine does not read or write."""
 
 

@@ -1,454 +1,13 @@
-"""Whole-file formats over Spark's own binary reader, so any store Spark reads will do; one task decodes one file.
-
-netcdf (classic CDF-1 and CDF-2), geotiff (classic and big; none, deflate, LZW; strips or tiles), shapefile (bare or in a zip), ff10 (bare or in
-a zip), csv and json points. Cell form: one row per cell with <dim>_idx, coordinate columns and values.
-"""
+"""Whole-file formats by name. Schemas come from headers; the work is dealt by files or by ranges inside them."""
 
 from __future__ import annotations
 
-import csv as csv_lib
-import fnmatch
-import io
-import math
-import struct
-import zipfile
-import zlib
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from .codecs import Unsupported
+from .netcdf import NetCDF, netcdf
 from .registry import Registry
+from .shapes import RESERVED, read_dbf, read_shapes, shapefile
+from .tables import FF10_NUMERIC, FF10_POINT, csv_points, ff10, json_points, select_members
+from .tiff import geotiff, read_tiff
 
-# netcdf --------------------------------------------------------------------------------------------------------
-
-_NC_TYPES = {1: "i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
-
-
-class NetCDF:
-    """Header of a classic file, and its variables decoded on demand."""
-
-    def __init__(self, raw: bytes):
-        if raw[:4] == b"\x89HDF":
-            raise Unsupported("NetCDF-4 (HDF5) needs a decoder that is not installed")
-        if raw[:3] != b"CDF" or raw[3] not in (1, 2):
-            raise ValueError("not a classic NetCDF file")
-        self.raw, self.at, self.wide = raw, 4, raw[3] == 2
-        self.records = self._int()
-        self.dims = [(self._name(), self._int()) for _ in range(self._list())]
-        self.attrs = self._attrs()
-        self.vars = {}
-        for _ in range(self._list()):
-            name = self._name()
-            ids = [self._int() for _ in range(self._int())]
-            attrs = self._attrs()
-            kind, size = self._int(), self._int()
-            begin = struct.unpack_from(">q" if self.wide else ">i", raw, self.at)[0]
-            self.at += 8 if self.wide else 4
-            self.vars[name] = (ids, attrs, _NC_TYPES[kind], size, begin)
-        self.record_size = sum(size for ids, _, _, size, _ in self.vars.values() if ids and self.dims[ids[0]][1] == 0)
-
-    def _int(self) -> int:
-        self.at += 4
-        return struct.unpack_from(">i", self.raw, self.at - 4)[0]
-
-    def _list(self) -> int:
-        self._int()
-        return self._int()
-
-    def _name(self) -> str:
-        n = self._int()
-        self.at += -(-n // 4) * 4
-        return self.raw[self.at - (-(-n // 4) * 4) :][:n].decode()
-
-    def _attrs(self) -> dict:
-        out = {}
-        for _ in range(self._list()):
-            name, kind, n = self._name(), self._int(), self._int()
-            size = np.dtype(_NC_TYPES[kind]).itemsize * n
-            data = self.raw[self.at : self.at + size]
-            self.at += -(-size // 4) * 4
-            out[name] = data.decode() if kind == 2 else (np.frombuffer(data, _NC_TYPES[kind]).tolist() if n != 1 else np.frombuffer(data, _NC_TYPES[kind])[0].item())
-        return out
-
-    def dim_names(self, name: str) -> list[str]:
-        return [self.dims[i][0] for i in self.vars[name][0]]
-
-    def read(self, name: str) -> np.ndarray:
-        """The variable's values: packed or masked ones as doubles with NaN, other integers as they are."""
-        ids, attrs, kind, size, begin = self.vars[name]
-        shape = [self.dims[i][1] for i in ids]
-        width = np.dtype(kind).itemsize
-        if shape and shape[0] == 0:
-            shape[0] = self.records
-            each = math.prod(shape[1:])
-            step = self.record_size if self.record_size != size or sum(1 for v in self.vars.values() if v[0] and self.dims[v[0][0]][1] == 0) > 1 else each * width
-            data = np.concatenate([np.frombuffer(self.raw, kind, each, begin + r * step) for r in range(self.records)]) if self.records else np.zeros(0, kind)
-        else:
-            data = np.frombuffer(self.raw, kind, math.prod(shape), begin)
-        out = data.reshape(shape)
-        if kind == "S1":
-            return out
-        fill = attrs.get("_FillValue", attrs.get("missing_value"))
-        packed = "scale_factor" in attrs or "add_offset" in attrs
-        if out.dtype.kind == "f" or packed or fill is not None:
-            value = out.astype("f8")
-            if packed:
-                value = value * float(attrs.get("scale_factor", 1)) + float(attrs.get("add_offset", 0))
-            return np.where(out == fill, np.nan, value) if fill is not None else value
-        return out.astype(out.dtype.newbyteorder("="))
-
-
-def _binary(spark: SparkSession, path) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
-
-
-def netcdf(spark: SparkSession, path, variable: str) -> DataFrame:
-    """path, <dim>_idx, <dim> coordinates and value of one variable; raw CF times stay raw (decode with functions.times.cf_time)."""
-    first = NetCDF(bytes(_binary(spark, path).select("content").first()["content"]))  # schema from one header
-    numeric = sorted(n for n, v in first.vars.items() if v[2] != "S1" and first.dim_names(n) != [n])
-    if variable not in first.vars:
-        raise KeyError(f"no variable {variable!r}; present: {numeric}")
-    dims = first.dim_names(variable)
-    coords = [d for d in dims if d in first.vars]
-    value = "double" if first.read(variable).dtype.kind == "f" else "long"
-
-    def decode(batches):
-        for pdf in batches:
-            for path_, raw in zip(pdf["path"], pdf["content"]):
-                nc = NetCDF(bytes(raw))
-                data = nc.read(variable)
-                at = np.indices(data.shape).reshape(data.ndim, -1) if data.ndim else np.zeros((0, 1), int)
-                out = {"path": [path_] * data.size} | {f"{d}_idx": at[k].astype("i4") for k, d in enumerate(dims)}
-                out |= {d: nc.read(d).astype("f8")[at[dims.index(d)]] for d in coords}
-                yield pd.DataFrame(out | {"value": data.ravel()})
-
-    schema = ", ".join(["path string", *[f"`{d}_idx` int" for d in dims], *[f"`{d}` double" for d in coords], f"value {value}"])
-    return _nan(_binary(spark, path).mapInPandas(decode, schema))
-
-
-def _nan(df: DataFrame) -> DataFrame:
-    """Missing numbers are NaN in these formats; the way through pandas makes them null."""
-    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(float("nan"))).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
-
-
-# geotiff -------------------------------------------------------------------------------------------------------
-
-_TIFF_SIZES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
-
-
-def _lzw(raw: bytes) -> bytes:
-    out, table, bits, width, store, prev = bytearray(), [], 0, 9, 0, None
-    for byte in raw:
-        store = (store << 8 | byte) & 0xFFFFFF
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = store >> bits & ((1 << width) - 1)
-        if code == 256:
-            table, width, prev = [bytes([i]) for i in range(256)] + [b"", b""], 9, None
-            continue
-        if code == 257:
-            break
-        entry = table[code] if code < len(table) else prev + prev[:1]
-        out += entry
-        if prev is not None:
-            table.append(prev + entry[:1])
-        prev = entry
-        width = 9 + (len(table) >= 511) + (len(table) >= 1023) + (len(table) >= 2047)
-    return bytes(out)
-
-
-def read_tiff(raw: bytes):
-    """(bands x rows x columns, x centres, y centres, projected); the file's missing value becomes NaN."""
-    end = {b"II": "<", b"MM": ">"}[raw[:2]]
-    magic = struct.unpack_from(end + "H", raw, 2)[0]
-    if magic not in (42, 43):
-        raise ValueError("not a TIFF file")
-    # BigTIFF (43) has wider offsets, counts and entries
-    word, number, room = ("Q", "Q", 8) if magic == 43 else ("I", "H", 4)
-    at = struct.unpack_from(end + word, raw, room)[0]
-    first, entry = at + struct.calcsize(number), 4 + 2 * room
-    tags = {}
-    for k in range(struct.unpack_from(end + number, raw, at)[0]):
-        tag, kind, n = struct.unpack_from(end + "HH" + word, raw, first + entry * k)
-        form = _TIFF_SIZES[kind]
-        size = struct.calcsize(end + form) * n
-        spot = first + entry * k + 4 + room
-        if size > room:
-            spot = struct.unpack_from(end + word, raw, spot)[0]
-        tags[tag] = raw[spot : spot + size] if kind == 2 else struct.unpack_from(end + form * n, raw, spot)
-    width, height = tags[256][0], tags[257][0]
-    bands, bits, how = tags.get(277, (1,))[0], tags.get(258, (1,))[0], tags.get(259, (1,))[0]
-    kind = np.dtype({1: "u", 2: "i", 3: "f"}[tags.get(339, (1,))[0]] + str(bits // 8)).newbyteorder(end)
-    if 33550 not in tags or 33922 not in tags:
-        raise ValueError("no georeference (tags 33550, 33922)")
-
-    def piece(offset, size, rows, cols):
-        data = raw[offset : offset + size]
-        data = {1: lambda d: d, 8: zlib.decompress, 32946: zlib.decompress, 5: _lzw}[how](data) if how in (1, 5, 8, 32946) else _refuse(how)
-        got = np.frombuffer(data, kind, rows * cols * per).reshape(rows, cols, per)
-        if tags.get(317, (1,))[0] == 2:
-            got = np.cumsum(got, axis=1, dtype=kind)
-        return got
-
-    planar = tags.get(284, (1,))[0] == 2
-    per = 1 if planar else bands
-    out = np.zeros((height, width, bands), kind.newbyteorder("="))
-    tiled = 322 in tags
-    step_x, step_y = (tags[322][0], tags[323][0]) if tiled else (width, tags.get(278, (height,))[0])
-    offsets, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
-    across, down = -(-width // step_x), -(-height // step_y)
-    for k, (offset, size) in enumerate(zip(offsets, sizes)):
-        plane, spot = divmod(k, across * down)
-        row, col = divmod(spot, across)
-        rows = step_y if tiled else min(step_y, height - row * step_y)
-        got = piece(offset, size, rows, step_x)
-        y, x = row * step_y, col * step_x
-        h, w = min(rows, height - y), min(step_x, width - x)
-        out[y : y + h, x : x + w, plane if planar else slice(None)] = got[:h, :w, 0] if planar else got[:h, :w]
-    data = np.moveaxis(out, 2, 0).astype("f8")
-    sentinel = tags.get(42113, b"").strip(b"\0 ").decode()
-    if sentinel:
-        data = np.where(data == float(sentinel), np.nan, data)
-    i0, j0, _, x0, y0, _ = tags[33922][:6]
-    sx, sy = tags[33550][:2]
-    keys = tags.get(34735, ())
-    projected = any(keys[i] == 1024 and keys[i + 3] == 1 for i in range(4, len(keys) - 3, 4))
-    return data, x0 + (np.arange(width) - i0 + 0.5) * sx, y0 - (np.arange(height) - j0 + 0.5) * sy, projected
-
-
-def _refuse(how):
-    raise Unsupported(f"TIFF compression {how}")
-
-
-def geotiff(spark: SparkSession, path, band_names: list[str] | None = None) -> DataFrame:
-    """path, row and column index, cell-centre coordinates (lat, lon or y, x) and one column per band."""
-    data, _, _, projected = read_tiff(bytes(_binary(spark, path).select("content").first()["content"]))
-    names = band_names or [f"Band{k + 1}" for k in range(len(data))]
-    if len(names) != len(data):
-        raise ValueError(f"{len(names)} band names for {len(data)} bands")
-    y, x = ("y", "x") if projected else ("lat", "lon")
-
-    def decode(batches):
-        for pdf in batches:
-            for path_, raw in zip(pdf["path"], pdf["content"]):
-                bands, xs, ys, _ = read_tiff(bytes(raw))
-                r, c = np.indices(bands.shape[1:]).reshape(2, -1)
-                yield pd.DataFrame({"path": path_, f"{y}_idx": r.astype("i4"), f"{x}_idx": c.astype("i4"), y: ys[r], x: xs[c]} | {n: b.ravel() for n, b in zip(names, bands)})
-
-    return _binary(spark, path).mapInPandas(decode, f"path string, {y}_idx int, {x}_idx int, {y} double, {x} double, " + ", ".join(f"`{n}` double" for n in names)).transform(_nan)
-
-
-# shapefile -----------------------------------------------------------------------------------------------------
-
-RESERVED = ("index", "geometry", "n_vertices", "shape_index", "part_index", "n_parts", "xmin", "ymin", "xmax", "ymax", "shape_type", "crs_wkt")
-
-
-def read_shapes(raw: bytes):
-    """(type code, bounding box, parts) of each record of a .shp; a null shape has one empty part."""
-    at, out = 100, []
-    while at + 8 <= len(raw):
-        size = 2 * struct.unpack_from(">i", raw, at + 4)[0]
-        body = raw[at + 8 : at + 8 + size]
-        at += 8 + size
-        kind = struct.unpack_from("<i", body)[0]
-        if kind == 0:
-            out.append((kind, [math.nan] * 4, [np.zeros((0, 2))]))
-        elif kind % 10 == 1:
-            x, y = struct.unpack_from("<2d", body, 4)
-            out.append((kind, [x, y, x, y], [np.array([[x, y]])]))
-        else:
-            box = list(struct.unpack_from("<4d", body, 4))
-            if kind % 10 == 8:
-                n = struct.unpack_from("<i", body, 36)[0]
-                out.append((kind, box, [np.frombuffer(body, "<f8", 2 * n, 40).reshape(n, 2)]))
-            elif kind % 10 in (3, 5):
-                n_parts, n = struct.unpack_from("<2i", body, 36)
-                starts = [*struct.unpack_from(f"<{n_parts}i", body, 44), n]
-                points = np.frombuffer(body, "<f8", 2 * n, 44 + 4 * n_parts).reshape(n, 2)
-                out.append((kind, box, [points[a:b] for a, b in zip(starts, starts[1:])]))
-            else:
-                raise Unsupported(f"shape type {kind}")
-    return out
-
-
-def read_dbf(raw: bytes, numeric_columns=()):
-    """(column kinds, live flags, rows) of a .dbf; only an asterisk marks a deleted row."""
-    n, head, size = struct.unpack_from("<IHH", raw, 4)
-    cols, at, spot = [], 32, 1
-    while raw[at] != 13:
-        name = raw[at : at + 11].split(b"\0")[0].decode("latin-1")
-        cols.append((name, chr(raw[at + 11]), spot, raw[at + 16]))
-        spot += raw[at + 16]
-        at += 32
-    if bad := sorted(set(numeric_columns) - {c[0] for c in cols}):
-        raise KeyError(f"no columns {bad}; present: {[c[0] for c in cols]}")
-    kinds = {c: "double" if t in "NFOI+" or c in numeric_columns else "boolean" if t == "L" else "string" for c, t, _, _ in cols}
-
-    def cell(raw_, kind, name):
-        if kind in "OI+":
-            return float(struct.unpack({"O": "<d", "I": "<i", "+": "<i"}[kind], raw_)[0])
-        text = raw_.decode("utf-8", "replace").strip(" \0")
-        if kinds[name] == "double":
-            try:
-                return float(text)
-            except ValueError:
-                return math.nan
-        return text.upper() in ("T", "Y") if kind == "L" else text
-
-    live, rows = [], []
-    for k in range(n):
-        row = raw[head + k * size : head + (k + 1) * size]
-        live.append(row[:1] != b"*")
-        rows.append([cell(row[s : s + w], t, c) for c, t, s, w in cols])
-    return kinds, live, rows
-
-
-def _layer(name: str, raw: bytes, member: str | None) -> dict[str, bytes]:
-    if not zipfile.is_zipfile(io.BytesIO(raw)):
-        return {"shp": raw}
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        shapes = [n for n in z.namelist() if n.lower().endswith(".shp")]
-        if member is None and len(shapes) != 1 or member is not None and member not in shapes:
-            raise ValueError(f"{name}: choose one .shp member of {shapes}")
-        stem = (member or shapes[0])[:-4].lower()
-        return {n[len(stem) + 1 :].lower(): z.read(n) for n in z.namelist() if n.lower().startswith(stem + ".")}
-
-
-def shapefile(spark: SparkSession, path, member: str | None = None, numeric_columns=(), nvert_max: int | None = None) -> DataFrame:
-    """One row per part: geometry (rings padded by their last vertex to the layer's longest or nvert_max), counts, box, attributes."""
-    files = _layer("layer", bytes(_binary(spark, path).select("content").first()["content"]), member)
-    kinds = read_dbf(files["dbf"], numeric_columns)[0] if "dbf" in files else {}
-    if clash := sorted(set(kinds) & set(RESERVED)):
-        raise ValueError(f"attribute columns with reserved names: {clash}")
-
-    def decode(batches):
-        for pdf in batches:
-            for path_, raw in zip(pdf["path"], pdf["content"]):
-                files = _layer(path_, bytes(raw), member)
-                shapes = read_shapes(files["shp"])
-                live, rows = [True] * len(shapes), [[]] * len(shapes)
-                if "dbf" in files:
-                    _, live, rows = read_dbf(files["dbf"], numeric_columns)
-                if len(live) != len(shapes):
-                    raise ValueError(f"{path_}: {len(shapes)} shapes, {len(live)} attribute rows")
-                kept = [(s, r) for s, r, ok in zip(shapes, rows, live) if ok]
-                longest = max([len(p) for (_, _, parts), _ in kept for p in parts] + [1])
-                size = nvert_max or longest
-                if longest > size:
-                    raise ValueError(f"{path_}: a part has {longest} vertices, more than {size}")
-                kind = next((k for k, _, _ in shapes if k), 0)
-                crs = files.get("prj", b"").decode("utf-8", "replace")
-                out = []
-                for shape, ((_, box, parts), row) in enumerate(kept):
-                    for k, p in enumerate(parts):
-                        full = np.vstack([p, np.repeat(p[-1:], size - len(p), 0)]) if len(p) else np.full((size, 2), np.nan)
-                        out.append([path_, len(out), full.tolist(), len(p), shape, k, len(parts), *box, kind, crs, *row])
-                yield pd.DataFrame(out, columns=["path", "index", "geometry", "n_vertices", "shape_index", "part_index", "n_parts", "xmin", "ymin", "xmax", "ymax", "type_code", "crs_wkt", *kinds])
-
-    from ..functions.decode import shape_type_name
-
-    schema = "path string, index long, geometry array<array<double>>, n_vertices int, shape_index int, part_index int, n_parts int, xmin double, ymin double, xmax double, ymax double, type_code int, crs_wkt string"
-    df = _binary(spark, path).mapInPandas(decode, schema + "".join(f", `{c}` {t}" for c, t in kinds.items()))
-    return df.withColumn("shape_type", shape_type_name(F.col("type_code"))).drop("type_code").transform(_nan)
-
-
-# ff10, csv, json -----------------------------------------------------------------------------------------------
-
-_MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
-# The columns of the point layout; the numeric ones are listed after them.
-FF10_POINT = """COUNTRY_CD REGION_CD TRIBAL_CODE FACILITY_ID UNIT_ID REL_POINT_ID PROCESS_ID AGY_FACILITY_ID AGY_UNIT_ID AGY_REL_POINT_ID
-AGY_PROCESS_ID SCC POLID ANN_VALUE ANN_PCT_RED FACILITY_NAME ERPTYPE STKHGT STKDIAM STKTEMP STKFLOW STKVEL NAICS LONGITUDE LATITUDE LL_DATUM
-HORIZ_COLL_MTHD DESIGN_CAPACITY DESIGN_CAPACITY_UNITS REG_CODES FAC_SOURCE_TYPE UNIT_TYPE_CODE CONTROL_IDS CONTROL_MEASURES CURRENT_COST
-CUMULATIVE_COST PROJECTION_FACTOR SUBMITTER_FAC_ID CALC_METHOD DATA_SET_ID FACIL_CATEGORY_CODE ORIS_FACILITY_CODE ORIS_BOILER_ID IPM_YN
-CALC_YEAR DATE_UPDATED FUG_HEIGHT FUG_WIDTH_XDIM FUG_LENGTH_YDIM FUG_ANGLE ZIPCODE ANNUAL_AVG_HOURS_PER_YEAR""".split() + [f"{m}_VALUE" for m in _MONTHS] + [f"{m}_PCTRED" for m in _MONTHS] + ["COMMENT"]
-FF10_NUMERIC = set("""ANN_VALUE ANN_PCT_RED STKHGT STKDIAM STKTEMP STKFLOW STKVEL LONGITUDE LATITUDE DESIGN_CAPACITY CURRENT_COST CUMULATIVE_COST
-PROJECTION_FACTOR FUG_HEIGHT FUG_WIDTH_XDIM FUG_LENGTH_YDIM FUG_ANGLE ANNUAL_AVG_HOURS_PER_YEAR""".split()) | {f"{m}_{k}" for m in _MONTHS for k in ("VALUE", "PCTRED")}
-
-
-def select_members(names: list[str], members=None, member_glob: str | None = None) -> list[str]:
-    """The union of named and matching members, in byte order; folders never; what is absent or matches nothing is an error."""
-    real = [n for n in names if not n.endswith("/")]
-    if absent := sorted(set(members or []) - set(real)):
-        raise ValueError(f"no members {absent}; present: {real}")
-    found = set(members or [])
-    if member_glob is not None:
-        hits = {n for n in real if fnmatch.fnmatchcase(n, member_glob)}
-        if not hits:
-            raise ValueError(f"nothing matches {member_glob!r}; present: {real}")
-        found |= hits
-    if not members and member_glob is None:
-        found = set(real)
-    if not found:
-        raise ValueError("no members")
-    return sorted(found, key=lambda n: n.encode())
-
-
-def ff10(spark: SparkSession, path, member=None, members=None, member_glob=None, skip_header_row: bool = False, numeric_columns=None, delimiter: str = ",", comment: str = "#") -> DataFrame:
-    """path, member, index and the 77 columns of the point layout: numeric ones blank to NaN, all others text."""
-    if member is not None and (members or member_glob):
-        raise ValueError("member excludes members and member_glob")
-    wanted = [member] if member is not None else members
-    numeric = FF10_NUMERIC if numeric_columns is None else set(numeric_columns)
-
-    def decode(batches):
-        for pdf in batches:
-            for path_, raw in zip(pdf["path"], pdf["content"]):
-                raw = bytes(raw)
-                if zipfile.is_zipfile(io.BytesIO(raw)):
-                    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                        parts = [(n, z.read(n)) for n in select_members(z.namelist(), wanted, member_glob)]
-                else:
-                    parts = [("", raw)]
-                index = 0
-                for name, body in parts:
-                    lines = [x for x in body.decode("utf-8").splitlines() if x.strip() and not x.lstrip().startswith(comment)]
-                    if skip_header_row:
-                        if not lines or next(csv_lib.reader(lines[:1], delimiter=delimiter))[0].strip().lower() != "country_cd":
-                            raise ValueError(f"{path_} {name}: no header row")
-                        lines = lines[1:]
-                    rows = list(csv_lib.reader(lines, delimiter=delimiter))
-                    for r in rows:
-                        if len(r) != len(FF10_POINT):
-                            raise ValueError(f"{path_} {name}: {len(r)} fields, not {len(FF10_POINT)}")
-                    out = pd.DataFrame(rows, columns=FF10_POINT, dtype=object)
-                    for c in numeric:
-                        out[c] = [float(x) if x.strip() else math.nan for x in out[c]]
-                    out.insert(0, "index", np.arange(index, index + len(out)))
-                    out.insert(0, "member", name)
-                    out.insert(0, "path", path_)
-                    index += len(out)
-                    yield out
-
-    return _binary(spark, path).mapInPandas(decode, "path string, member string, index long, " + ", ".join(f"{c} {'double' if c in numeric else 'string'}" for c in FF10_POINT)).transform(_nan)
-
-
-def csv_points(spark: SparkSession, path, numeric_columns=(), delimiter: str = ",", header_row: int = 0) -> DataFrame:
-    """path, index and the file's columns: declared ones as double (anything else there is an error), others text."""
-    head = next(x for k, x in enumerate(r for r in csv_lib.reader(io.StringIO(bytes(_binary(spark, path).select("content").first()["content"]).decode()), delimiter=delimiter) if r) if k == header_row)
-    if absent := sorted(set(numeric_columns) - set(head)):
-        raise KeyError(f"no columns {absent}; present: {head}")
-
-    def decode(batches):
-        for pdf in batches:
-            for path_, raw in zip(pdf["path"], pdf["content"]):
-                rows = [r for r in csv_lib.reader(io.StringIO(bytes(raw).decode(), newline=""), delimiter=delimiter) if r][header_row + 1 :]
-                out = pd.DataFrame(rows, columns=head, dtype=object)
-                for c in numeric_columns:
-                    out[c] = out[c].astype("f8")
-                out.insert(0, "index", np.arange(len(out)))
-                out.insert(0, "path", path_)
-                yield out
-
-    return _binary(spark, path).mapInPandas(decode, "path string, index long, " + ", ".join(f"`{c}` {'double' if c in numeric_columns else 'string'}" for c in head))
-
-
-def json_points(spark: SparkSession, path, schema) -> DataFrame:
-    return spark.read.schema(schema).json(path)
-
+__all__ = ["FF10_NUMERIC", "FF10_POINT", "FORMATS", "NetCDF", "RESERVED", "csv_points", "ff10", "geotiff", "json_points", "netcdf", "read_dbf", "read_shapes", "read_tiff", "select_members", "shapefile"]
 
 FORMATS = Registry("format", netcdf=netcdf, geotiff=geotiff, shapefile=shapefile, ff10=ff10, csv=csv_points, json=json_points)

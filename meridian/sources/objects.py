@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def open_base(base: str) -> tuple[fs.FileSystem, str]:
     if "://" not in base:
-        return fs.LocalFileSystem(), os.path.abspath(base)
+        return fs.LocalFileSystem(), os.path.abspath(base.removeprefix("file:"))
     if base.startswith("file://"):
         return fs.LocalFileSystem(), base[len("file://") :]
-    return fs.FileSystem.from_uri(base)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", base))
 
 
 def get(base: str, key: str) -> bytes | None:
@@ -30,7 +33,7 @@ def get(base: str, key: str) -> bytes | None:
 def size(base: str, key: str) -> int | None:
     """The object's size in bytes; None if it is not there."""
     system, root = open_base(base)
-    info = system.get_file_info(f"{root}/{key}")
+    info = system.get_file_info(f"{root}/{key}" if key else root)
     return info.size if info.type == fs.FileType.File else None
 
 
@@ -40,7 +43,7 @@ def exists(base: str, key: str) -> bool:
 
 def get_range(base: str, key: str, start: int, size: int) -> bytes:
     system, root = open_base(base)
-    with system.open_input_file(f"{root}/{key}") as f:
+    with system.open_input_file(f"{root}/{key}" if key else root) as f:
         return f.read_at(size, start if start >= 0 else f.size() + start)
 
 
@@ -53,3 +56,34 @@ def put(base: str, key: str, data: bytes) -> None:
     with system.open_output_stream(temporary) as f:
         f.write(data)
     system.move(temporary, path)
+
+
+def delete(base: str, key: str) -> bool:
+    """Remove an object; whether it was there."""
+    system, root = open_base(base)
+    try:
+        system.delete_file(f"{root}/{key}")
+        return True
+    except FileNotFoundError:
+        return False
+
+
+def open_input(path: str):
+    """A file to read and seek in."""
+    system, root = open_base(path)
+    return system.open_input_file(root)
+
+
+def files(spark: SparkSession, path) -> list[str]:
+    """The files at a path, a folder or a glob, as Spark lists them, in order; contents are not read."""
+    return sorted(r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect())
+
+
+def contents(spark: SparkSession, path) -> DataFrame:
+    """(path, content) of the files at a path."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def with_nan(df: DataFrame) -> DataFrame:
+    """Missing numbers are NaN in these formats; the way through pandas makes them null."""
+    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(float("nan"))).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])

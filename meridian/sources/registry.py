@@ -1,10 +1,11 @@
-"""Named extensions: formats and transports that a user may add beside the built-in ones."""
+"""Named extensions: formats, transports, stores, writers and credentials that a user may add beside the built-in ones."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
 from .codecs import Unsupported
+from .errors import NotRegistered
 
 STATUSES = ("implemented", "stub")
 
@@ -27,6 +28,8 @@ class Registry(Mapping):
             raise ValueError(f"{self.kind} {name!r} is registered already")
 
     def __getitem__(self, name: str):
+        if name not in self._entries:
+            raise NotRegistered(f"no {self.kind} {name!r}; known: {list(self)}")
         entry, status, note = self._entries[name]
         if status == "stub":
             raise Unsupported(f"{self.kind} {name!r} is a stub. {note}".strip())
