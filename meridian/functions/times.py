@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 
 from pyspark.sql import Column
@@ -50,6 +51,19 @@ def cf_time(raw: Column, units: str, calendar: str = "standard") -> Column:
     return from_micros(micros(base) + F.round(raw.cast("double") * UNIT_MICROS[m[1].lower()]).cast("long"))
 
 
+def cf_micros(values: list, units: str, calendar: str = "standard") -> list[int] | None:
+    """Instants (microseconds since 1970) of a short axis of raw values, on the driver; None where `cf_time` would be null."""
+    m = re.fullmatch(r"\s*(\w+?)s?\s+since\s+(.+?)\s*", units)
+    if calendar.lower() not in ("standard", "gregorian", "proleptic_gregorian") or not m or m[1].lower() not in UNIT_MICROS:
+        return None
+    try:
+        base = datetime.datetime.fromisoformat(m[2].replace("T", " ").removesuffix("Z").removesuffix(" UTC").strip())
+    except ValueError:
+        return None
+    start = (base - datetime.datetime(1970, 1, 1)) // datetime.timedelta(microseconds=1)
+    return [start + round(v * UNIT_MICROS[m[1].lower()]) for v in values]
+
+
 def mod1(index: Column, n: Column) -> Column:
     """1..n, so that n follows n - 1 and 1 follows n."""
     return F.pmod(index - 1, n) + 1

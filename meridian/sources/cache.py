@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import hashlib
 import json
+import os
+import re
+import time
 import urllib.error
 import urllib.request
 from dataclasses import dataclass
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +79,44 @@ def by_service(service: JobService):
 TRANSPORTS = Registry("transport", http=over_http, https=over_http, file=over_store, s3=over_store, gs=over_store, hdfs=over_store, cds=over_jobs)
 
 
+FIELDS = {"schema": str, "url": str, "etag": (str, type(None)), "last_modified": (str, type(None)), "sha256_content": str, "bytes": int, "fetched_at": str, "source_loader": (str, type(None)), "auth_realm": (str, type(None))}
+
+
+def check_manifest(record: dict) -> None:
+    """A manifest has these fields only, of these types, a SHA-256 and a time; anything else is refused before it is written."""
+    if set(record) - set(FIELDS) or {"schema", "url", "sha256_content", "bytes", "fetched_at"} - set(record):
+        raise ValueError(f"manifest fields {sorted(record)}")
+    if bad := [k for k, v in record.items() if not isinstance(v, FIELDS[k])]:
+        raise ValueError(f"manifest fields of another type: {bad}")
+    if record["schema"] != "manifest/v1" or not re.fullmatch("[0-9a-f]{64}", record["sha256_content"]) or record["bytes"] < 0 or not re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", record["fetched_at"]):
+        raise ValueError(f"no manifest: {record}")
+
+
+@contextlib.contextmanager
+def locked(root: str, key: str, stale_seconds: float = 3600.0, poll_seconds: float = 0.05):
+    """Hold a key of the cache: an exclusive file on local and shared disks; one left behind is taken over once it is stale. Other stores have none."""
+    system, base = objects.open_base(root)
+    if not isinstance(system, fs.LocalFileSystem):
+        yield
+        return
+    path = f"{base}/locks/{key}"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    while True:
+        try:
+            os.close(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            break
+        except FileExistsError:
+            with contextlib.suppress(FileNotFoundError):
+                if time.time() - os.stat(path).st_mtime > stale_seconds:
+                    os.unlink(path)
+            time.sleep(poll_seconds)
+    try:
+        yield
+    finally:
+        with contextlib.suppress(FileNotFoundError):
+            os.unlink(path)
+
+
 def manifests(spark: SparkSession, root: str) -> DataFrame:
     """All manifests, with their key."""
     try:
@@ -85,16 +128,44 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
     return got.withColumn("key", keys.cache_key(F.col("url")))
 
 
+def through(url: str, root: str, headers: dict | None = None) -> str | None:
+    """Path in the cache of one object, fetched by the calling task if it is not held; None if it surely does not exist."""
+    key = hashlib.sha256(url.encode()).hexdigest()
+    stem = url.rpartition("/")[2]
+    ext = m[1].lower() if (m := re.search(r"[^/]\.([A-Za-z0-9]{1,8})$", stem)) else ""
+    path = f"blobs/{key[:2]}/{key}" + (f".{ext}" if ext else "")
+    if objects.exists(root, path):
+        return path
+    got = TRANSPORTS.implemented().get(url.partition("://")[0].lower(), over_store)(url, headers or {}, {})
+    if got.status == "absent":
+        return None
+    if got.status != "ok":
+        raise FetchError(f"{url}: {got.status}", False)
+    objects.put(root, path, got.data)
+    _commit(root, key, url, got, hashlib.sha256(got.data).hexdigest(), len(got.data), None, None)
+    return path
+
+
+def _commit(root, key, url, got, sha, size, loader, realm) -> None:
+    now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    record = {"schema": "manifest/v1", "url": url, "etag": got.etag, "last_modified": got.last_modified, "sha256_content": sha, "bytes": size, "fetched_at": now, "source_loader": loader, "auth_realm": realm}
+    check_manifest(record)
+    objects.put(root, f"meta/{key}.json", json.dumps(record, sort_keys=True).encode())
+
+
+FETCHED = "key string, url string, status string, path string"
 OPTIONAL = {"mirrors": "array<string>", "expected_sha": "string", "immutable": "boolean", "ttl_seconds": "long"}
 
 
-def fetch(urls: DataFrame, root: str, offline: bool = False, headers: dict | None = None, realm: str | None = None, transports: dict | None = None) -> DataFrame:
+def fetch(urls: DataFrame, root: str, offline: bool = False, headers: dict | None = None, realm: str | None = None, transports: dict | None = None, loader: str | None = None, verify_on_read: bool = False) -> DataFrame:
     """Bring every url into the cache; returns (key, url, status, path) with status hit, not_modified or downloaded.
 
     Beside `url`, `urls` may have the columns of OPTIONAL; an address counts as immutable unless it says otherwise. What is held
     is judged by `keys.freshness`: hits are not asked for; objects with validators are asked for conditionally; the rest is
     fetched, from the address or its mirrors in order, by exactly one task a key. A validator whose object is gone is not
     trusted: the object is fetched again. A digest other than the expected one raises IntegrityError and nothing is stored.
+    A task locks a key while it fetches and looks again once it has the lock, so several jobs at once download an object once.
+    With `verify_on_read`, hits are held against their manifests first; a difference raises IntegrityError.
     Offline, what is held (with or without a manifest) is a hit and missing keys raise CacheMiss.
     """
     spark = urls.sparkSession
@@ -112,6 +183,12 @@ def fetch(urls: DataFrame, root: str, offline: bool = False, headers: dict | Non
     served = TRANSPORTS.implemented() | (transports or {})
 
     def bring(r) -> str:
+        with locked(root, r.key):
+            if r.verdict == "miss" and not isinstance(r.expected_sha, str) and not isinstance(r.sha256_content, str) and objects.exists(root, f"meta/{r.key}.json") and objects.exists(root, r.path):
+                return "hit"  # another job brought it in the meantime
+            return load(r)
+
+    def load(r) -> str:
         outcomes = []
         for k, candidate in enumerate([r.url, *(r.mirrors if r.mirrors is not None else [])]):
             ask = served.get(candidate.partition("://")[0].lower(), over_store)
@@ -131,9 +208,7 @@ def fetch(urls: DataFrame, root: str, offline: bool = False, headers: dict | Non
             size = len(got.data)
         else:
             sha, size = r.sha256_content, objects.size(root, r.path)
-        now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-        record = {"schema": "manifest/v1", "url": r.url, "etag": got.etag, "last_modified": got.last_modified, "sha256_content": sha, "bytes": size, "fetched_at": now, "source_loader": None, "auth_realm": realm}
-        objects.put(root, f"meta/{r.key}.json", json.dumps(record, sort_keys=True).encode())
+        _commit(root, r.key, r.url, got, sha, size, loader, realm)
         return "downloaded" if got.status == "ok" else got.status
 
     def run(batches):
@@ -143,6 +218,8 @@ def fetch(urls: DataFrame, root: str, offline: bool = False, headers: dict | Non
 
     loaded = missing.repartition("key").mapInPandas(run, "key string, url string, status string, path string")
     out = hits.unionByName(loaded)
+    if verify_on_read and (bad := [r["key"] for r in verify(spark, root).join(hits.select("key"), "key", "left_semi").where("not ok").limit(5).collect()]):
+        raise IntegrityError(f"objects that differ from their manifests: {bad}")
     rows = out.collect()  # one row an object asked for: the job runs once, here
     if lost := [f"{r['url']} ({r['key']})" for r in rows if r["status"] == "miss"]:
         raise CacheMiss(", ".join(lost[:5]))

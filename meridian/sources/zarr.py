@@ -1,6 +1,6 @@
 """Zarr arrays (v2, and v3 with or without shards) as a Spark data source: only chunks that meet the selection are read.
 
-Options: path, variable, select (JSON list of axes), mode ("cells", "chunks" or "shape"). In mode cells each row is a selected cell:
+Options: path, variable, select (JSON list of axes), mode ("cells", "chunks" or "shape"), cache (a cache to read chunks through). In mode cells each row is a selected cell:
 pos_<dim> (position in the selection), <dim> (index), value. Floats are read as double; chunks that are not stored have the fill
 value, which is not a missing value. One partition holds one chunk (or shard), so a task never holds more than that and its cells.
 """
@@ -21,7 +21,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..operators.select import needed_chunks, resolve
 from . import objects
 from .codecs import Unsupported, decode
+from .errors import UnknownOption
 
+ZARR_OPTIONS = ("variable", "select", "mode", "cache")
 _V3_TYPES = {"float32": "<f4", "float64": "<f8", "int8": "|i1", "int16": "<i2", "int32": "<i4", "int64": "<i8", "uint8": "|u1", "uint16": "<u2", "uint32": "<u4", "uint64": "<u8", "bool": "|b1"}
 
 
@@ -87,6 +89,27 @@ def _fill(x) -> float:
     return {None: 0, "NaN": math.nan, "Infinity": math.inf, "-Infinity": -math.inf}.get(x, x) if not isinstance(x, bool) else int(x)
 
 
+def read_axis(base: str, name: str):
+    """(values, attributes) of a one-dimensional array of this name; (None, {}) if there is none."""
+    try:
+        meta = read_meta(base, name)
+    except FileNotFoundError:
+        return None, {}
+    if len(meta.shape) != 1:
+        return None, {}
+    v2 = objects.get(base, f"{name}/.zattrs")
+    attrs = json.loads(v2 or b"{}") if meta.version == 2 else json.loads(objects.get(base, f"{name}/zarr.json")).get("attributes", {})
+    out = []
+    for k in range(-(-meta.shape[0] // meta.chunk[0])):
+        key = f"{name}/{chunk_name(meta, (k,))}"
+        if meta.inner is None:
+            out.append(decode_chunk(meta, objects.get(base, key), meta.chunk))
+        else:
+            out += [data for _, data in read_inner(base, key, meta, [(i,) for i in range(meta.chunk[0] // meta.inner[0])])]
+    values = np.concatenate(out)[: meta.shape[0]] if out else np.zeros(0)
+    return values.astype("f8"), {k: v for k, v in attrs.items() if k in ("units", "calendar")}
+
+
 def array_shape(base: str, variable: str) -> tuple:
     return read_meta(base, variable).shape
 
@@ -114,13 +137,13 @@ def shard_index(meta: ArrayMeta, raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u8").reshape(-1, 2)
 
 
-def read_inner(base: str, name: str, meta: ArrayMeta, wanted: list[tuple]):
+def read_inner(base: str, name: str, meta: ArrayMeta, wanted: list[tuple], store=objects):
     """(inner chunk id, array) of the wanted inner chunks of one shard: the index first, then only their byte ranges."""
     grid = tuple(c // i for c, i in zip(meta.chunk, meta.inner))
     tail = 4 if "crc32c" in meta.index_codecs else 0
     size = 16 * math.prod(grid) + tail
     try:
-        index = shard_index(meta, objects.get_range(base, name, 0 if meta.index_first else -size, size))
+        index = shard_index(meta, store.get_range(base, name, 0 if meta.index_first else -size, size))
     except FileNotFoundError:
         index = None
     for ids in wanted:
@@ -128,7 +151,29 @@ def read_inner(base: str, name: str, meta: ArrayMeta, wanted: list[tuple]):
         if index is None or index[spot][0] == 2**64 - 1:
             yield ids, decode_chunk(meta, None, meta.inner)
         else:
-            yield ids, decode_chunk(meta, objects.get_range(base, name, *map(int, index[spot])), meta.inner)
+            yield ids, decode_chunk(meta, store.get_range(base, name, *map(int, index[spot])), meta.inner)
+
+
+class Through:
+    """Objects of a store by way of the cache: what is not held is fetched whole and committed, so a range is read there."""
+
+    def __init__(self, root: str):
+        self.root = root
+
+    def _held(self, base: str, key: str):
+        from . import cache  # the cache reads registries, which are not needed for direct access
+
+        return cache.through(f"{base}/{key}", self.root)
+
+    def get(self, base: str, key: str) -> bytes | None:
+        path = self._held(base, key)
+        return None if path is None else objects.get(self.root, path)
+
+    def get_range(self, base: str, key: str, start: int, size: int) -> bytes:
+        path = self._held(base, key)
+        if path is None:
+            raise FileNotFoundError(key)
+        return objects.get_range(self.root, path, start, size)
 
 
 class Piece(InputPartition):
@@ -140,6 +185,7 @@ class ZarrReader(DataSourceReader):
     def __init__(self, options, schema):
         self.base, self.variable = options["path"], options.get("variable", "")
         self.mode = options.get("mode", "cells")
+        self.store = Through(options["cache"]) if options.get("cache") else objects
         self.meta = read_meta(self.base, self.variable)
         self.indices = resolve(options.get("select"), self.meta.shape)
 
@@ -166,12 +212,12 @@ class ZarrReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array([list(meta.shape)], pa.list_(pa.int64())), pa.array([list(meta.chunk)], pa.list_(pa.int64())), pa.array([list(dims)], pa.list_(pa.string()))], ["shape", "chunk", "dims"])
             return
         if part.inner is None:
-            pieces = [(part.ids, decode_chunk(meta, objects.get(self.base, part.name), meta.chunk))]
+            pieces = [(part.ids, decode_chunk(meta, self.store.get(self.base, part.name), meta.chunk))]
             size = meta.chunk
         else:
             size = meta.inner
             per = tuple(c // i for c, i in zip(meta.chunk, meta.inner))
-            pieces = ((tuple(s * p + i for s, p, i in zip(part.ids, per, ids)), a) for ids, a in read_inner(self.base, part.name, meta, part.inner))
+            pieces = ((tuple(s * p + i for s, p, i in zip(part.ids, per, ids)), a) for ids, a in read_inner(self.base, part.name, meta, part.inner, self.store))
         for ids, data in pieces:
             if self.mode == "chunks":
                 clip = tuple(slice(0, min(n, total - i * n)) for i, n, total in zip(ids, size, meta.shape))
@@ -202,9 +248,8 @@ class ZarrSource(DataSource):
 
     def __init__(self, options):
         super().__init__(options)
-        unknown = set(options) - {"path", "variable", "select", "mode"}
-        if unknown:
-            raise ValueError(f"unknown options {sorted(unknown)}; accepted: mode, path, select, variable")
+        if unknown := set(options) - {"path", *ZARR_OPTIONS}:
+            raise UnknownOption("zarr", unknown, {"path", *ZARR_OPTIONS})
 
     def schema(self):
         mode = self.options.get("mode", "cells")
