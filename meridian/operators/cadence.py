@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.times import epoch_seconds, from_micros, instant, micros, snap_down, url_at
+from .order import BLOCK, carried, following, numbered
 
 
 def ticks(spark: SparkSession, start: str, step_seconds: int, lower: str | None = None, upper: str | None = None, end: str | None = None) -> DataFrame:
@@ -32,24 +33,20 @@ def prefetch(ticked: DataFrame, start: str, file_seconds: int, template: str) ->
     return ticked.select(anchor.alias("file_anchor")).distinct().select("file_anchor", url_at(F.col("file_anchor"), template).alias("url"))
 
 
-def at_or_before(asked: DataFrame, records: DataFrame, on: str, at: str, value: str, clamp: bool = False, slice_seconds: int = 86400) -> DataFrame:
+def at_or_before(asked: DataFrame, records: DataFrame, on: str, at: str, value: str, clamp: bool = False, block: int = BLOCK) -> DataFrame:
     """`asked` with <at> and <value> of the latest record not after its <on>; ties take the least value.
 
-    Both sides are dealt out by stretches of time, merged and filled forward inside a stretch; a stretch starts with the last record
-    of all earlier ones, found over one row per stretch. With `clamp`, instants before all records get the earliest one.
+    Both sides are numbered in one order of time and filled forward inside blocks of rows; a block starts with the last record of all
+    earlier ones, found over one row per block. With `clamp`, instants before all records get the earliest one.
     """
     names = asked.columns
     best = records.groupBy(F.col(at).alias("__at")).agg(F.min(value).alias("__value")).where("__at is not null")
-    stretch = F.floor(micros(F.col("__t")) / F.lit(slice_seconds * 10**6)).cast("long")
     left = asked.select(*[F.col(c) for c in names], F.col(on).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(best.schema["__at"].dataType).alias("__at"), F.lit(None).cast(best.schema["__value"].dataType).alias("__value"))
     right = best.select(*[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in names], F.col("__at").alias("__t"), F.lit(0).alias("__side"), "__at", "__value")
-    both = left.unionByName(right).withColumn("__stretch", stretch)
-    rec = F.when(F.col("__side") == 0, F.struct("__at", "__value"))
-    heads = both.groupBy("__stretch").agg(F.max(rec).alias("__own"))
-    carried = heads.select("__stretch", F.last("__own", ignorenulls=True).over(W.orderBy("__stretch").rowsBetween(W.unboundedPreceding, -1)).alias("__carry"))  # one row per stretch
-    run = W.partitionBy("__stretch").orderBy("__t", "__side").rowsBetween(W.unboundedPreceding, 0)
-    filled = both.withColumn("__last", F.last(rec, ignorenulls=True).over(run)).where("__side = 1").join(carried, "__stretch", "left")
-    got = F.coalesce("__last", "__carry")
+    both = numbered(left.unionByName(right), "__t", "__side", block=block)
+    last, before = carried(both, F.when(F.col("__side") == 0, F.struct("__at", "__value")))
+    filled = both.withColumn("__last", last).where("__side = 1").join(before, "__block", "left")
+    got = F.when(F.col("__t").isNotNull(), F.coalesce("__last", "__carry"))
     if clamp:
         first = best.agg(F.min(F.struct("__at", "__value")).alias("__first"))
         filled = filled.join(F.broadcast(first))  # a single row
@@ -57,30 +54,47 @@ def at_or_before(asked: DataFrame, records: DataFrame, on: str, at: str, value:
     return filled.select(*names, got["__at"].alias(at), got["__value"].alias(value))
 
 
-def brackets(records: DataFrame, at: str, value: str, within: Column | None = None) -> DataFrame:
+def brackets(records: DataFrame, at: str, value: str, within: Column | None = None, block: int = BLOCK) -> DataFrame:
     """Each record with its successor's time and value; the last one is its own. `within` splits the sequence where the successor must not be sought."""
-    w = W.partitionBy(within).orderBy(at, value) if within is not None else W.orderBy(at, value)
-    return records.select("*", F.coalesce(F.lead(at).over(w), F.col(at)).alias("next_" + at), F.coalesce(F.lead(value).over(w), F.col(value)).alias("next_" + value))
+    names = records.columns
+    rows = records.withColumn("__within", within if within is not None else F.lit(0))
+    led = following(numbered(rows, "__within", at, value, block=block), F.struct("__within", at, value))
+    same = F.col("__next").isNotNull() & F.col("__next")["__within"].eqNullSafe(F.col("__within"))
+    got = F.when(same, F.struct(F.col("__next")[at].alias(at), F.col("__next")[value].alias(value))).otherwise(F.struct(at, value))
+    return led.withColumn("__got", got).select(*names, F.col("__got")[at].alias("next_" + at), F.col("__got")[value].alias("next_" + value))
 
 
-def seam_brackets(records: DataFrame, at: str, value: str, file: Column) -> DataFrame:
-    """Brackets over files: inside a file by lead; its last record's successor is the first of the next file (one row per file is compared)."""
-    w = W.partitionBy("__file").orderBy(at, value)
-    rows = records.withColumn("__file", file)
-    heads = rows.groupBy("__file").agg(F.min(F.struct(at, value)).alias("__head"))
-    following = heads.select("__file", F.lead("__head").over(W.orderBy("__file")).alias("__follow"))
-    led = rows.withColumn("__lead", F.lead(F.struct(at, value)).over(w)).join(following, "__file", "left")
-    got = F.coalesce("__lead", "__follow", F.struct(at, value))
-    return led.select(*records.columns, got[at].alias("next_" + at), got[value].alias("next_" + value))
+def seam_brackets(records: DataFrame, at: str, value: str, file: Column, block: int = BLOCK) -> DataFrame:
+    """Brackets over files in their order: the last record's successor is the first of the next file."""
+    names = records.columns
+    led = following(numbered(records.withColumn("__file", file), "__file", at, value, block=block), F.struct(at, value))
+    got = F.coalesce("__next", F.struct(at, value))
+    return led.withColumn("__got", got).select(*names, F.col("__got")[at].alias("next_" + at), F.col("__got")[value].alias("next_" + value))
 
 
-def record_index(asked: DataFrame, records: DataFrame, on: str, file: str, at: str, start: Column, step_seconds: int) -> DataFrame:
-    """record_index of each asked instant in its file: at or before on the file's own times if they span it, else by offset from `start`."""
-    spans = records.groupBy(file).agg(F.sort_array(F.collect_list(at)).alias("__times"))  # a file's time axis is small
+def record_index(asked: DataFrame, records: DataFrame, on: str, file: str, at: str, start: Column, step_seconds: int, block: int = BLOCK) -> DataFrame:
+    """record_index of each asked instant in its file: at or before on the file's own times (the first of equal ones) if they span it, else by offset from `start`.
+
+    Files and instants are numbered in one order, so a file of any length needs no array and no task of its own.
+    """
+    names = asked.columns
+    kind = records.schema[at].dataType
+    held = records.where(F.col(at).isNotNull()).groupBy(F.col(file).alias("__file"), F.col(at).alias("__t")).agg(F.count("*").alias("__n"))
+    files = held.groupBy("__file").agg(F.min("__t").alias("__low"), F.max("__t").alias("__high"), F.sum("__n").alias("__all"))
+    left = asked.select(*names, F.col(file).alias("__file"), F.col(on).cast(kind).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__n"))
+    right = held.select(*[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in names], "__file", "__t", F.lit(0).alias("__side"), "__n")
+    both = numbered(left.unionByName(right), "__file", "__t", "__side", block=block)
+    run = W.partitionBy("__block").orderBy("__index").rowsBetween(W.unboundedPreceding, 0)
+    last, before = carried(both, F.col("__n"))
+    sums = both.groupBy("__block").agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__sum"))
+    sums = sums.select("__block", (F.sum("__sum").over(W.orderBy("__block")) - F.col("__sum")).alias("__earlier"))  # one row a block
+    bases = files.select(F.col("__file").alias("__of"), "__low", "__high", (F.sum("__all").over(W.orderBy("__file")) - F.col("__all")).alias("__base"))  # one row a file
+    filled = both.withColumn("__last", last).withColumn("__seen", F.coalesce(F.sum("__n").over(run), F.lit(0))).where("__side = 1")
+    filled = filled.join(before, "__block", "left").join(sums, "__block", "left").join(bases, F.col("__file") == F.col("__of"), "left")
+    asof = F.col("__seen") + F.col("__earlier") - F.coalesce("__last", "__carry") - F.col("__base")
     offset = F.floor((micros(F.col(on)) - micros(start)) / F.lit(step_seconds * 10**6)).cast("long")
-    inside = F.col(on).between(F.array_min("__times"), F.array_max("__times"))
-    asof = (F.size(F.filter("__times", lambda x: x <= F.col(on))) - 1).cast("long")
-    return asked.join(spans, file, "left").withColumn("record_index", F.when(F.coalesce(inside, F.lit(False)), asof).otherwise(offset)).drop("__times")
+    inside = F.coalesce(F.col("__t").between(F.col("__low"), F.col("__high")), F.lit(False))
+    return filled.select(*names, F.when(inside, asof).otherwise(offset).cast("long").alias("record_index"))
 
 
 def record_slice(records: DataFrame, file: str, at: str, tie: str, index: int) -> DataFrame:
@@ -97,15 +111,8 @@ def months_in_span(spark: SparkSession, start: str, end: str, buffer_hours: int
 
 
 def time_shards(records: DataFrame, at: str, tie: str, per_shard: int) -> DataFrame:
-    """(shard, t_start, t_end, n_records) of records dealt in time order, `per_shard` each.
-
-    Ranks are made from counts per day: only the days are summed in one place, the records are ranked inside their day.
-    """
-    rows = records.select(at, tie, F.to_date(at).alias("__day"))
-    days = rows.groupBy("__day").agg(F.count("*").alias("__n"))
-    before = days.select("__day", (F.sum("__n").over(W.orderBy("__day")) - F.col("__n")).alias("__before"))
-    rank = F.row_number().over(W.partitionBy("__day").orderBy(at, tie)) - 1
-    ranked = rows.withColumn("__rank", rank).join(before, "__day").withColumn("shard", F.floor((F.col("__before") + F.col("__rank")) / per_shard).cast("long"))
+    """(shard, t_start, t_end, n_records) of records dealt in time order, `per_shard` each."""
+    ranked = numbered(records.select(at, tie), at, tie).withColumn("shard", F.floor(F.col("__index") / per_shard).cast("long"))
     return ranked.groupBy("shard").agg(F.min(at).alias("t_start"), F.max(at).alias("t_end"), F.count("*").alias("n_records"))
 
 

@@ -61,6 +61,22 @@ def needed_chunks(indices: list[list[int]], chunk: tuple[int, ...]) -> list[tupl
     return list(itertools.product(*[sorted({i // c for i in axis}) for axis, c in zip(indices, chunk)]))
 
 
+def chunk_table(spark: SparkSession, axes: list[tuple], names: list[str]) -> DataFrame:
+    """The needed chunks as a table, one column an axis: (length, chunk length, selection, all if there is none) of each axis. Built by Spark, so no list of all ids is made."""
+    out = spark.range(1)
+    for (total, chunk, *axis), name in zip(axes, names):
+        kind, *rest = parse_axis(axis[0] if axis else "all")
+        if kind == "indices":
+            ids = F.array(*[F.lit(k) for k in sorted({i // chunk for i in axis_indices(axis[0], total)})])
+        else:
+            start, stop, step = rest if kind == "slice" else (0, total, 1)
+            stop = min(stop, total)
+            each = F.sequence(F.lit(start), F.lit(stop - 1), F.lit(step)) if step > chunk else F.sequence(F.lit(start // chunk), F.lit((stop - 1) // chunk))
+            ids = F.array().cast("array<int>") if stop <= start else F.array_distinct(F.transform(each, lambda i, c=chunk: F.floor(i / c).cast("int"))) if step > chunk else each
+        out = out.withColumn(name, F.explode(ids.cast("array<int>")))
+    return out.select(*names)
+
+
 def index_table(spark: SparkSession, indices: list[int], name: str) -> DataFrame:
     """(pos_<name>, <name>) of the selected indices of one axis."""
     return spark.createDataFrame(list(enumerate(map(int, indices))), f"pos_{name} int, {name} int")

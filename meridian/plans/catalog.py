@@ -295,17 +295,12 @@ def select_2d(spark, embeddings):
     return got.select("pos_vec", "pos_dim", "value")
 
 
-@query(f"SELECT CAST(vec_id // 10 AS INTEGER) AS c0, CAST(dim // 16 AS INTEGER) AS c1, (vec_id // 10) || '.' || (dim // 16) AS key, count(*) AS n, min(value) AS low, max(value) AS high FROM {_DIMS} WHERE vec_id % 3 = 0 AND dim < 40 GROUP BY ALL", "embeddings")
-def needed_chunks(spark, embeddings):
-    cells = _cells(embeddings).where("vec % 3 = 0 AND dim < 40")
-    by = cells.withColumns({"c0": select.chunk_of(F.col("vec"), 10), "c1": select.chunk_of(F.col("dim"), 16)})
-    return by.groupBy("c0", "c1").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).withColumn("key", select.chunk_key(F.col("c0"), F.col("c1")))
-
-
 @query(f"SELECT CAST(vec_id // 10 AS INTEGER) AS c0, CAST(dim // 16 AS INTEGER) AS c1, (vec_id // 10) || '.' || (dim // 16) AS key, count(*) AS n, min(value) AS low, max(value) AS high FROM {_DIMS} GROUP BY ALL", "embeddings")
-def needed_chunks_whole(spark, embeddings):
+def needed_chunks(spark, embeddings):
+    wanted = select.chunk_table(spark, [(_length(embeddings), 10), (64, 16)], ["c0", "c1"])
     by = _cells(embeddings).withColumns({"c0": select.chunk_of(F.col("vec"), 10), "c1": select.chunk_of(F.col("dim"), 16)})
-    return by.groupBy("c0", "c1").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).withColumn("key", select.chunk_key(F.col("c0"), F.col("c1")))
+    by = by.groupBy("c0", "c1").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return wanted.join(by, ["c0", "c1"]).withColumn("key", select.chunk_key(F.col("c0"), F.col("c1")))
 
 
 @query(f"SELECT CAST(vec_id // 20 AS INTEGER) AS shard, count(DISTINCT vec_id) AS n_rows, count(*) AS n_cells, min(value) AS low, max(value) AS high FROM {_DIMS} GROUP BY 1", "embeddings")
@@ -314,31 +309,19 @@ def shard_stats(spark, embeddings):
     return e.groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum(F.size("embedding")).cast("long").alias("n_cells"), F.min(F.array_min("embedding")).alias("low"), F.max(F.array_max("embedding")).alias("high"))
 
 
-@query(f"SELECT CAST(vec_id AS INTEGER) AS vec, CAST(dim AS INTEGER) AS dim, CAST(vec_id * 64 + dim AS BIGINT) AS c_order, CAST(dim * 500 + vec_id AS BIGINT) AS f_order FROM {_DIMS} WHERE vec_id < 50", "embeddings")
-def linear_index(spark, embeddings):
-    at = [F.col("vec"), F.col("dim")]
-    return _cells(embeddings).where("vec < 50").select("vec", "dim", select.linear_index(at, [500, 64]).alias("c_order"), select.linear_index(at, [500, 64], "F").alias("f_order"))
-
-
 def _length(embeddings) -> int:
     """How long the axis of vectors is: one past the greatest id."""
     return embeddings.agg(F.coalesce(F.max("vec_id") + 1, F.lit(0))).first()[0]
 
 
 @query(f"SELECT CAST(vec_id AS INTEGER) AS vec, CAST(dim AS INTEGER) AS dim, CAST(vec_id * 64 + dim AS BIGINT) AS c_order, CAST(dim * (SELECT max(vec_id) + 1 FROM embeddings) + vec_id AS BIGINT) AS f_order FROM {_DIMS}", "embeddings")
-def linear_index_whole(spark, embeddings):
+def linear_index(spark, embeddings):
     at, shape = [F.col("vec"), F.col("dim")], [_length(embeddings), 64]
     return _cells(embeddings).select("vec", "dim", select.linear_index(at, shape).alias("c_order"), select.linear_index(at, shape, "F").alias("f_order"))
 
 
-@query("SELECT DISTINCT CAST(vec_id // 7 AS INTEGER) AS chunk, CAST(least(7, 500 - (vec_id // 7) * 7) AS INTEGER) AS inside, CAST(min(vec_id % 7) OVER (PARTITION BY vec_id // 7) AS INTEGER) AS first FROM embeddings WHERE vec_id < 500", "embeddings")
-def edge_clip(spark, embeddings):
-    chunk = select.chunk_of(F.col("vec_id"), 7)
-    return embeddings.where("vec_id < 500").groupBy(chunk.alias("chunk")).agg(F.min(select.within_chunk(F.col("vec_id"), 7)).alias("first")).withColumn("inside", select.clip_edge(F.col("chunk"), 7, 500))
-
-
 @query("SELECT CAST(vec_id // 7 AS INTEGER) AS chunk, CAST(least(7, (SELECT max(vec_id) + 1 FROM embeddings) - (vec_id // 7) * 7) AS INTEGER) AS inside, CAST(min(vec_id % 7) AS INTEGER) AS first FROM embeddings GROUP BY vec_id // 7", "embeddings")
-def edge_clip_whole(spark, embeddings):
+def edge_clip(spark, embeddings):
     chunk = select.chunk_of(F.col("vec_id"), 7)
     return embeddings.groupBy(chunk.alias("chunk")).agg(F.min(select.within_chunk(F.col("vec_id"), 7)).alias("first")).withColumn("inside", select.clip_edge(F.col("chunk"), 7, _length(embeddings)))
 
@@ -385,23 +368,12 @@ def shape_probe(spark, embeddings):
 # E. Cadence, lookup, append
 
 _TICKS = "(SELECT TIMESTAMP '2024-01-01' + i * INTERVAL '45 minutes' AS anchor FROM range(0, 960) t(i))"
-_RECORDS = "(SELECT ts, min(event_id) AS event_id FROM events WHERE ts >= TIMESTAMP '2024-01-03' GROUP BY ts)"
 
 
 def _ticks(spark):
     return cadence.ticks(spark, "2024-01-01", 2700, upper="2024-01-31").select("anchor")
 
 
-@query(f"SELECT anchor, r.ts, r.event_id FROM {_TICKS} t ASOF LEFT JOIN {_RECORDS} r ON t.anchor >= r.ts", "events")
-def asof_record(spark, events):
-    return cadence.at_or_before(_ticks(spark), events.where("ts >= timestamp_ntz'2024-01-03'"), "anchor", "ts", "event_id")
-
-
-@query(f"SELECT anchor, coalesce(r.ts, (SELECT min(ts) FROM {_RECORDS})) AS ts, coalesce(r.event_id, (SELECT arg_min(event_id, ts) FROM {_RECORDS})) AS event_id FROM {_TICKS} t ASOF LEFT JOIN {_RECORDS} r ON t.anchor >= r.ts", "events")
-def asof_clamped(spark, events):
-    return cadence.at_or_before(_ticks(spark), events.where("ts >= timestamp_ntz'2024-01-03'"), "anchor", "ts", "event_id", clamp=True)
-
-
 _EARLY_TICKS = "(SELECT TIMESTAMP '2023-12-30' + i * INTERVAL '45 minutes' AS anchor FROM range(0, 1024) t(i))"
 _ALL_RECORDS = "(SELECT ts, min(event_id) AS event_id FROM events GROUP BY ts)"
 
@@ -412,12 +384,12 @@ def _early_ticks(spark):
 
 
 @query(f"SELECT anchor, r.ts, r.event_id FROM {_EARLY_TICKS} t ASOF LEFT JOIN {_ALL_RECORDS} r ON t.anchor >= r.ts", "events")
-def asof_record_whole(spark, events):
+def asof_record(spark, events):
     return cadence.at_or_before(_early_ticks(spark), events, "anchor", "ts", "event_id")
 
 
 @query(f"SELECT anchor, coalesce(r.ts, (SELECT min(ts) FROM {_ALL_RECORDS})) AS ts, coalesce(r.event_id, (SELECT arg_min(event_id, ts) FROM {_ALL_RECORDS})) AS event_id FROM {_EARLY_TICKS} t ASOF LEFT JOIN {_ALL_RECORDS} r ON t.anchor >= r.ts", "events")
-def asof_clamped_whole(spark, events):
+def asof_clamped(spark, events):
     return cadence.at_or_before(_early_ticks(spark), events, "anchor", "ts", "event_id", clamp=True)
 
 
@@ -432,26 +404,14 @@ def bracket_seam(spark, events):
 
 
 @query(
-    f"""WITH f AS (SELECT CAST(ts AS DATE) AS day, min(ts) AS lo, max(ts) AS hi FROM events WHERE hour(ts) >= 6 GROUP BY 1)
-        SELECT anchor, CASE WHEN anchor BETWEEN lo AND hi THEN (SELECT count(*) FROM events WHERE hour(ts) >= 6 AND CAST(ts AS DATE) = f.day AND ts <= anchor) - 1
-          ELSE epoch_us(anchor - TIMESTAMP '2024-01-01') // 3600000000 END AS record_index
-        FROM {_TICKS} LEFT JOIN f ON day = CAST(anchor AS DATE)""",
+    f"""WITH f AS (SELECT CAST(ts AS DATE) AS day, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY 1),
+        p AS (SELECT CAST(ts AS DATE) AS day, ts, min(n) AS n FROM (SELECT ts, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts) - 1 AS n FROM events) GROUP BY ALL),
+        a AS (SELECT anchor, CAST(anchor AS DATE) AS day FROM {_TICKS})
+        SELECT a.anchor, CASE WHEN a.anchor BETWEEN lo AND hi THEN p.n ELSE epoch_us(a.anchor - TIMESTAMP '2024-01-01') // 3600000000 END AS record_index
+        FROM a LEFT JOIN f ON f.day = a.day ASOF LEFT JOIN p ON p.day = a.day AND a.anchor >= p.ts""",
     "events",
 )
 def record_index(spark, events):
-    asked = _ticks(spark).withColumn("day", F.to_date("anchor"))
-    records = events.where("hour(ts) >= 6").select(F.to_date("ts").alias("day"), "ts")
-    return cadence.record_index(asked, records, "anchor", "day", "ts", times.instant("2024-01-01"), 3600).select("anchor", "record_index")
-
-
-@query(
-    f"""WITH f AS (SELECT CAST(ts AS DATE) AS day, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY 1)
-        SELECT anchor, CASE WHEN anchor BETWEEN lo AND hi THEN (SELECT count(*) FROM events WHERE CAST(ts AS DATE) = f.day AND ts <= anchor) - 1
-          ELSE epoch_us(anchor - TIMESTAMP '2024-01-01') // 3600000000 END AS record_index
-        FROM {_TICKS} LEFT JOIN f ON day = CAST(anchor AS DATE)""",
-    "events",
-)
-def record_index_whole(spark, events):
     asked = _ticks(spark).withColumn("day", F.to_date("anchor"))
     records = events.select(F.to_date("ts").alias("day"), "ts")
     return cadence.record_index(asked, records, "anchor", "day", "ts", times.instant("2024-01-01"), 3600).select("anchor", "record_index")

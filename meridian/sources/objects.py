@@ -68,6 +68,13 @@ def delete(base: str, key: str) -> bool:
         return False
 
 
+def list_prefix(base: str, folder: str, prefix: str) -> list[str]:
+    """Keys in a folder whose names begin with the prefix, in order."""
+    system, root = open_base(base)
+    found = system.get_file_info(fs.FileSelector(f"{root}/{folder}", allow_not_found=True))
+    return sorted(f"{folder}/{f.base_name}" for f in found if f.type == fs.FileType.File and f.base_name.startswith(prefix))
+
+
 def open_input(path: str):
     """A file to read and seek in."""
     system, root = open_base(path)

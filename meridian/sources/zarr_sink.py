@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import objects
-from .codecs import PROFILES, crc32c, encode
+from .codecs import PROFILES, Unsupported, crc32c, encode
 from .zarr import pack_index, read_inner, read_meta
 
 _TYPES = {"f4": "float32", "f8": "float64", "i4": "int32", "i8": "int64", "u4": "uint32", "u8": "uint64"}
@@ -194,3 +194,43 @@ def _times(path: str, t: str, total: int) -> list[float]:
 def sink(stream: DataFrame, path: str, s: OutputSchema, checkpoint: str, **trigger):
     """Start a query that appends each micro-batch; what was written before a restart is skipped by its time."""
     return stream.writeStream.foreachBatch(lambda batch, _: write(batch, path, s) and None).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+class Writer:
+    """Records one batch at a time: `record` keeps DataFrames, `flush` writes what is kept (nothing to write is no error), `close` flushes and ends."""
+
+    def __init__(self, path: str, schema: OutputSchema, region=None):
+        if region is not None:
+            raise Unsupported("writing a region: records are appended in order of time")
+        schema.check()
+        self.path, self.schema, self._kept, self.closed = path, schema, [], False
+
+    def record(self, cells: DataFrame) -> None:
+        if self.closed:
+            raise ValueError("the writer is closed")
+        want = {self.schema.time_dim, *self.schema.dims, *self.schema.vars}
+        if absent := sorted(want - set(cells.columns)):
+            raise ValueError(f"columns {absent} are missing")
+        self._kept.append(cells.select(*sorted(want)))
+
+    def flush(self) -> dict | None:
+        if not self._kept:
+            return manifest(self.path)
+        cells = self._kept[0]
+        for more in self._kept[1:]:
+            cells = cells.unionByName(more)
+        out = write(cells, self.path, self.schema)
+        self._kept = []
+        return out
+
+    def close(self) -> dict | None:
+        out = self.flush()
+        self.closed = True
+        return out
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, kind, *_):
+        if kind is None:
+            self.close()
