@@ -83,3 +83,14 @@ def close_to(a: Column, b: Column, atol: float = 1e-6, rtol: float = 1e-9) -> Co
     """Equal within tolerance; missing equals missing only."""
     na, nb = a.isNull() | F.isnan(a), b.isNull() | F.isnan(b)
     return F.coalesce(F.when(na | nb, na & nb).otherwise(F.abs(a - b) <= F.lit(atol) + F.lit(rtol) * F.abs(b)), F.lit(False))
+
+
+def difference(a: Column, b: Column) -> list[Column]:
+    """Aggregates over two versions of an array: `most`, the largest difference of cells present in both, and `same_mask`, whether the same cells are missing."""
+    na, nb = a.isNull() | F.isnan(a), b.isNull() | F.isnan(b)
+    return [F.max(F.when(~na & ~nb, F.abs(a - b))).alias("most"), F.bool_and(na == nb).alias("same_mask")]
+
+
+def affine_centre(row: Column, col: Column, a: float, b: float, c: float) -> Column:
+    """One coordinate of a cell's centre under an affine map (with rotation): a * (col + 0.5) + b * (row + 0.5) + c."""
+    return F.lit(float(a)) * (col + 0.5) + F.lit(float(b)) * (row + 0.5) + F.lit(float(c))

@@ -554,3 +554,5 @@ def flagship(spark, sf_dir):
 
 Q["flagship"] = flagship
 SQL["flagship"] = "SELECT anchor, n, first, last, strftime(anchor, 'https://x/%Y/f%Y%m%d%H.nc') AS url, sha256(strftime(anchor, 'https://x/%Y/f%Y%m%d%H.nc')) AS cache_key FROM (SELECT time_bucket(INTERVAL '3 hours', ts, TIMESTAMP '2024-01-01') AS anchor, count(*) AS n, min(ts) AS first, max(ts) AS last FROM events GROUP BY 1)"
+
+from . import stores  # noqa: E402,F401  (registers the queries that write and read files)
