@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+MOST_BROADCAST = 100_000  # indices; a longer selection is joined as Spark sees fit
+
+
 def parse_axis(axis) -> tuple:
     """("all",), ("indices", [...]) or ("slice", start, stop, step) from "all", a list, {"indices": [...]} or {"slice": [a, b, s]}."""
     if axis is None or axis == "all":
@@ -56,6 +61,51 @@ def resolve(select, shape: tuple[int, ...]) -> list[list[int]]:
     return [axis_indices(a, n) for a, n in zip(axes, shape)]
 
 
+def lazy_indices(select, shape: tuple[int, ...]) -> list:
+    """Per axis a range (all, slices) or a list (chosen indices): what `resolve` lists, without listing it."""
+    axes = parse_select(select)
+    if axes is None or len(axes) != len(shape):
+        return [range(n) for n in shape]
+    out = []
+    for a, n in zip(axes, shape):
+        kind, *rest = parse_axis(a)
+        out.append(range(n) if kind == "all" else range(rest[0], min(rest[1], n), rest[2]) if kind == "slice" else axis_indices(a, n))
+    return out
+
+
+def met_chunks(axis, length: int):
+    """Ids of the chunks of one axis that hold its selected indices, in order: a range where the selection leaves none out."""
+    if isinstance(axis, range):
+        if not len(axis):
+            return range(0)
+        if axis.step <= length:
+            return range(axis[0] // length, axis[-1] // length + 1)
+    return sorted({i // length for i in axis})
+
+
+def met_indices(axis, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, indices) of an axis' selection in lo..hi."""
+    if isinstance(axis, range):
+        first = max(0, -(-(lo - axis.start) // axis.step))
+        last = min(len(axis), -(-(hi - axis.start) // axis.step))
+        pos = np.arange(first, max(first, last))
+        return pos, axis.start + pos * axis.step
+    want = np.asarray(axis, np.int64)
+    pos = np.flatnonzero((want >= lo) & (want < hi))
+    return pos, want[pos]
+
+
+def boxes(axes: list, most: int):
+    """The product of the axes cut into boxes, at most about `most` of them: per box a stretch of each axis."""
+    per = -(-math.prod(map(len, axes)) // most)
+    cuts = []
+    for axis in reversed(axes):
+        size = max(1, min(len(axis), per))
+        cuts.append([axis[k : k + size] for k in range(0, len(axis), size)])
+        per = -(-per // max(1, len(axis)))
+    return itertools.product(*reversed(cuts))
+
+
 def needed_chunks(indices: list[list[int]], chunk: tuple[int, ...]) -> list[tuple[int, ...]]:
     """Ids of the chunks that hold selected cells: the product over axes of the chunk ids met."""
     return list(itertools.product(*[sorted({i // c for i in axis}) for axis, c in zip(indices, chunk)]))
@@ -85,7 +135,9 @@ def index_table(spark: SparkSession, indices: list[int], name: str) -> DataFrame
 def take(cells: DataFrame, spark: SparkSession, axes: dict[str, object], shape: dict[str, int]) -> DataFrame:
     """Cells at the selected indices of each axis, with their positions in the caller's order."""
     for name, axis in axes.items():
-        cells = cells.join(F.broadcast(index_table(spark, axis_indices(axis, shape[name]), name)), name)  # no larger than the axis
+        picked = axis_indices(axis, shape[name])
+        table = index_table(spark, picked, name)
+        cells = cells.join(F.broadcast(table) if len(picked) <= MOST_BROADCAST else table, name)
     return cells
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from ..operators.order import durable
 from . import objects
 from .errors import CacheMiss, FetchError, IntegrityError, Offline
 from .jobs import JobError, JobService
@@ -31,18 +32,29 @@ class Fetched:
     """status: "ok", "not_modified", "absent" (surely) or "unknown"; validators are those the server gave."""
 
     status: str
-    data: bytes | None = None
+    data: object = None  # bytes, or an iterator of them
     etag: str | None = None
     last_modified: str | None = None
 
 
+def _body(response, size: int = 1 << 20):
+    """The body piece by piece; one that ends early is an error."""
+    want, got = response.headers.get("Content-Length"), 0
+    with response:
+        while piece := response.read(size):
+            got += len(piece)
+            yield piece
+    if want is not None and got != int(want):
+        raise FetchError(f"{response.url}: {got} of {want} bytes", False)
+
+
 def over_http(url: str, headers: dict, known: dict) -> Fetched:
     """GET; with known validators a conditional one."""
     asks = {"If-None-Match": known.get("etag"), "If-Modified-Since": known.get("last_modified")}
     sent = headers | {k: v for k, v in asks.items() if v}
     try:
-        with urllib.request.urlopen(urllib.request.Request(url, headers=sent), timeout=600) as r:
-            return Fetched("ok", r.read(), r.headers.get("ETag"), r.headers.get("Last-Modified"))
+        r = urllib.request.urlopen(urllib.request.Request(url, headers=sent), timeout=600)
+        return Fetched("ok", _body(r), r.headers.get("ETag"), r.headers.get("Last-Modified"))
     except urllib.error.HTTPError as e:
         if e.code == 304 and any(asks.values()):
             return Fetched("not_modified", None, e.headers.get("ETag") or asks["If-None-Match"], e.headers.get("Last-Modified") or asks["If-Modified-Since"])
@@ -141,8 +153,7 @@ def through(url: str, root: str, headers: dict | None = None) -> str | None:
         return None
     if got.status != "ok":
         raise FetchError(f"{url}: {got.status}", False)
-    objects.put(root, path, got.data)
-    _commit(root, key, url, got, hashlib.sha256(got.data).hexdigest(), len(got.data), None, None)
+    _commit(root, key, url, got, *objects.put_stream(root, path, [got.data] if isinstance(got.data, bytes) else got.data), None, None)
     return path
 
 
@@ -201,11 +212,11 @@ def fetch(urls: DataFrame, root: str, offline: bool = False, headers: dict | Non
         else:
             raise FetchError(f"{r.url}: {outcomes}", all(o == "absent" for o in outcomes))
         if got.status == "ok":
-            sha = hashlib.sha256(got.data).hexdigest()
-            if isinstance(r.expected_sha, str) and sha != r.expected_sha.lower():
-                raise IntegrityError(f"{r.url}: digest {sha}, expected {r.expected_sha}")
-            objects.put(root, r.path, got.data)
-            size = len(got.data)
+            def check(sha):
+                if isinstance(r.expected_sha, str) and sha != r.expected_sha.lower():
+                    raise IntegrityError(f"{r.url}: digest {sha}, expected {r.expected_sha}")
+
+            sha, size = objects.put_stream(root, r.path, [got.data] if isinstance(got.data, bytes) else got.data, check)
         else:
             sha, size = r.sha256_content, objects.size(root, r.path)
         _commit(root, r.key, r.url, got, sha, size, loader, realm)
@@ -220,10 +231,10 @@ def fetch(urls: DataFrame, root: str, offline: bool = False, headers: dict | Non
     out = hits.unionByName(loaded)
     if verify_on_read and (bad := [r["key"] for r in verify(spark, root).join(hits.select("key"), "key", "left_semi").where("not ok").limit(5).collect()]):
         raise IntegrityError(f"objects that differ from their manifests: {bad}")
-    rows = out.collect()  # one row an object asked for: the job runs once, here
-    if lost := [f"{r['url']} ({r['key']})" for r in rows if r["status"] == "miss"]:
-        raise CacheMiss(", ".join(lost[:5]))
-    return spark.createDataFrame(rows, out.schema)
+    done = durable(out)  # the job runs once, here
+    if lost := [f"{r['url']} ({r['key']})" for r in done.where("status = 'miss'").limit(5).collect()]:
+        raise CacheMiss(", ".join(lost))
+    return done
 
 
 def verify(spark: SparkSession, root: str) -> DataFrame:

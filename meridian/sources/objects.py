@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import uuid
@@ -58,6 +59,28 @@ def put(base: str, key: str, data: bytes) -> None:
     system.move(temporary, path)
 
 
+def put_stream(base: str, key: str, pieces, check=None) -> tuple[str, int]:
+    """Write pieces of bytes under a temporary name, then move into place: (SHA-256, size). `check(sha)` may raise; then nothing is left."""
+    system, root = open_base(base)
+    path = f"{root}/{key}"
+    system.create_dir(os.path.dirname(path), recursive=True)
+    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+    sha, size = hashlib.sha256(), 0
+    try:
+        with system.open_output_stream(temporary) as f:
+            for piece in pieces:
+                sha.update(piece)
+                size += len(piece)
+                f.write(piece)
+        if check:
+            check(sha.hexdigest())
+    except BaseException:
+        system.delete_file(temporary)
+        raise
+    system.move(temporary, path)
+    return sha.hexdigest(), size
+
+
 def delete(base: str, key: str) -> bool:
     """Remove an object; whether it was there."""
     system, root = open_base(base)

@@ -11,14 +11,13 @@ import itertools
 import json
 import math
 import struct
-from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..operators.select import needed_chunks, resolve
+from ..operators.select import boxes, lazy_indices, met_chunks, met_indices
 from . import objects
 from .codecs import Unsupported, decode
 from .errors import UnknownOption
@@ -176,9 +175,14 @@ class Through:
         return objects.get_range(self.root, path, start, size)
 
 
+MOST_PIECES = 20_000
+
+
 class Piece(InputPartition):
-    def __init__(self, name, ids, inner):
-        self.name, self.ids, self.inner = name, ids, inner
+    """A box of chunk (or shard) ids: a stretch of each axis."""
+
+    def __init__(self, axes):
+        self.axes = axes
 
 
 class ZarrReader(DataSourceReader):
@@ -187,37 +191,41 @@ class ZarrReader(DataSourceReader):
         self.mode = options.get("mode", "cells")
         self.store = Through(options["cache"]) if options.get("cache") else objects
         self.meta = read_meta(self.base, self.variable)
-        self.indices = resolve(options.get("select"), self.meta.shape)
+        self.indices = lazy_indices(options.get("select"), self.meta.shape)
 
     def partitions(self):
+        """One chunk or shard a partition; of a store with very many, boxes of some."""
         if self.mode == "shape":
-            return [Piece("", (), ())]
+            return [Piece(())]
+        met = [met_chunks(axis, c) for axis, c in zip(self.indices, self.meta.chunk)]
+        if any(not len(m) for m in met):
+            return [Piece(None)]
+        return [Piece(box) for box in boxes(met, MOST_PIECES)]
+
+    def _pieces(self, box):
+        """(chunk id, array) of the chunks of a box, one at a time; of shards only the inner chunks that the selection meets."""
+        meta = self.meta
         prefix = f"{self.variable}/" if self.variable else ""
-        out = []
-        if self.meta.inner is None:
-            out = [Piece(prefix + chunk_name(self.meta, ids), ids, None) for ids in needed_chunks(self.indices, self.meta.chunk)]
-        else:
-            per = tuple(c // i for c, i in zip(self.meta.chunk, self.meta.inner))
-            shards = defaultdict(list)
-            for ids in needed_chunks(self.indices, self.meta.inner):
-                shards[tuple(i // p for i, p in zip(ids, per))].append(tuple(i % p for i, p in zip(ids, per)))
-            out = [Piece(prefix + chunk_name(self.meta, s), s, inner) for s, inner in sorted(shards.items())]
-        return out or [Piece(None, (), ())]
+        for ids in itertools.product(*box):
+            name = prefix + chunk_name(meta, ids)
+            if meta.inner is None:
+                yield ids, decode_chunk(meta, self.store.get(self.base, name), meta.chunk)
+                continue
+            per = tuple(c // i for c, i in zip(meta.chunk, meta.inner))
+            own = [met_indices(axis, s * c, (s + 1) * c)[1] // n - s * p for axis, s, c, n, p in zip(self.indices, ids, meta.chunk, meta.inner, per)]
+            wanted = list(itertools.product(*[np.unique(x).tolist() for x in own]))
+            for inner, a in read_inner(self.base, name, meta, wanted, self.store):
+                yield tuple(s * p + i for s, p, i in zip(ids, per, inner)), a
 
     def read(self, part):
-        if part is None or part.name is None:
+        if part is None or part.axes is None:
             return
         meta, dims = self.meta, self.meta.dims
         if self.mode == "shape":
             yield pa.RecordBatch.from_arrays([pa.array([list(meta.shape)], pa.list_(pa.int64())), pa.array([list(meta.chunk)], pa.list_(pa.int64())), pa.array([list(dims)], pa.list_(pa.string()))], ["shape", "chunk", "dims"])
             return
-        if part.inner is None:
-            pieces = [(part.ids, decode_chunk(meta, self.store.get(self.base, part.name), meta.chunk))]
-            size = meta.chunk
-        else:
-            size = meta.inner
-            per = tuple(c // i for c, i in zip(meta.chunk, meta.inner))
-            pieces = ((tuple(s * p + i for s, p, i in zip(part.ids, per, ids)), a) for ids, a in read_inner(self.base, part.name, meta, part.inner, self.store))
+        size = meta.inner or meta.chunk
+        pieces = self._pieces(part.axes)
         for ids, data in pieces:
             if self.mode == "chunks":
                 clip = tuple(slice(0, min(n, total - i * n)) for i, n, total in zip(ids, size, meta.shape))
@@ -226,9 +234,7 @@ class ZarrReader(DataSourceReader):
                 continue
             picks = []
             for axis, (i, n) in enumerate(zip(ids, size)):
-                want = np.asarray(self.indices[axis], np.int64)
-                pos = np.flatnonzero((want >= i * n) & (want < (i + 1) * n))
-                picks.append((pos, want[pos]))
+                picks.append(met_indices(self.indices[axis], i * n, (i + 1) * n))
             if not all(len(p) for p, _ in picks):
                 continue
             values = data[np.ix_(*[w - i * n for (_, w), i, n in zip(picks, ids, size)])] if picks else data

@@ -1,7 +1,7 @@
 """A sharded Zarr v3 writer: rows (t, dims..., variables...) go to one shard per stretch of records, metadata is written last.
 
-`write` takes a batch DataFrame in cell form. Records are ordered by t; every `shard[time]` of them fill one shard, written by one
-task. A later call appends: the open shard at the end is read back and committed anew in place, so the manifest has one entry per
+`write` takes a batch DataFrame in cell form. Records are numbered by t; every `shard[time]` of them make a shard of time, and each
+shard of time and space is written by one task, which holds that shard only. A later call appends: the open shard at the end is read back and committed anew in place, so the manifest has one entry per
 shard and no gap. Shards come first, then shapes, then the manifest, so a reader never sees what is not there. `sink` does the same
 for each micro-batch of a stream and skips what the manifest's last_t shows to be written.
 """
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import itertools
 import json
-import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.order import numbered
 from . import objects
 from .codecs import PROFILES, Unsupported, crc32c, encode
 from .zarr import pack_index, read_inner, read_meta
@@ -124,73 +124,68 @@ def write(cells: DataFrame, path: str, s: OutputSchema) -> dict:
     if old["last_t"] is not None:
         cells = cells.where(F.col(t) > F.lit(old["last_t"]))
     per, base = s.shard[t], old["total_records"]
-    times = [r[0] for r in cells.select(F.col(t).cast("double")).distinct().orderBy(t).toLocalIterator()]  # the time axis itself is written by the driver
-    if not times:
+    ranks = numbered(cells.select(F.col(t).cast("double").alias("__t")).where("__t is not null").distinct(), "__t")
+    ranks = ranks.select("__t", (F.col("__index") + base).alias("__rank")).withColumn("__shard", F.floor(F.col("__rank") / per))
+    found = ranks.groupBy("__shard").agg(F.min("__t").alias("low"), F.max("__t").alias("high"), F.count("*").alias("n")).orderBy("__shard").collect()  # one row a shard, as in the manifest
+    if not found:
         return old
-    spark = cells.sparkSession
-    ranks = spark.createDataFrame([(x, base + i, (base + i) // per) for i, x in enumerate(times)], "__t double, __rank long, __shard long")
+    total = base + sum(r["n"] for r in found)
     plan, open_ = s, base % per
     dims = [d for d in s.dims if d != t]
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+    def kept(name, var, shard, ids, shape):
+        """What the open shard holds already."""
+        return _read_back(path, name, shard, plan, var, ids, shape) if open_ and shard == base // per else np.zeros(shape, var.dtype)
+
+    def save(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One shard of time and space of every variable that begins there."""
         shard = int(pdf["__shard"].iloc[0])
         rank = pdf["__rank"].to_numpy() - shard * per
+        spot = {d: int(pdf[f"__{d}"].iloc[0]) for d in dims}
         for name, var in plan.vars.items():
             rest = [d for d in var.dims if d != t]
-            sizes = [-(-plan.dims[d] // plan.shard[d]) * plan.shard[d] for d in rest]
-            block = np.zeros([per, *sizes], var.dtype)
-            if open_ and shard == base // per:
-                block[:open_] = _read_back(path, name, shard, plan, var, sizes)[:open_]
-            block[tuple([rank, *[pdf[d].to_numpy() for d in rest]])] = pdf[name].to_numpy()
-            grid = [n // plan.shard[d] for n, d in zip(sizes, rest)]
-            for ids in itertools.product(*[range(n) for n in grid]):
-                part = block[tuple([slice(None), *[slice(i * plan.shard[d], (i + 1) * plan.shard[d]) for i, d in zip(ids, rest)]])]
-                objects.put(path, f"{name}/c/" + "/".join(map(str, (shard, *ids))), build_shard(part, tuple(plan.chunk[d] for d in var.dims), plan.profile))
-        return pd.DataFrame({"shard": [shard], "cells": [len(pdf)]})
-
-    joined = cells.withColumn("__t", F.col(t).cast("double")).join(ranks, "__t").select("__shard", "__rank", *dims, *s.vars)
-    joined.groupBy("__shard").applyInPandas(fill, "shard long, cells long").collect()  # one row a shard
-    known = _times(path, t, base) + times
-    total = len(known)
-    axis = np.zeros(-(-total // per) * per)
-    axis[:total] = known
-    for k in range(base // per, len(axis) // per):
-        objects.put(path, f"{t}/c/{k}", build_shard(axis[k * per : (k + 1) * per], (s.chunk[t],), s.profile))
+            if any(spot[d] for d in dims if d not in rest):
+                continue
+            ids = [spot[d] for d in rest]
+            block = kept(name, var, shard, ids, [per, *[plan.shard[d] for d in rest]])
+            block[tuple([rank, *[pdf[d].to_numpy() - spot[d] * plan.shard[d] for d in rest]])] = pdf[name].to_numpy()
+            objects.put(path, f"{name}/c/" + "/".join(map(str, (shard, *ids))), build_shard(block, tuple(plan.chunk[d] for d in var.dims), plan.profile))
+        return pd.DataFrame({"cells": [len(pdf)]})
+
+    def save_times(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = int(pdf["__shard"].iloc[0])
+        block = kept(t, OutputVar([t], "f8"), shard, [], [per])
+        block[pdf["__rank"].to_numpy() - shard * per] = pdf["__t"].to_numpy()
+        objects.put(path, f"{t}/c/{shard}", build_shard(block, (plan.chunk[t],), plan.profile))
+        return pd.DataFrame({"cells": [len(pdf)]})
+
+    joined = cells.withColumn("__t", F.col(t).cast("double")).join(ranks, "__t").select("__shard", "__rank", *dims, *s.vars, *[F.floor(F.col(d) / s.shard[d]).alias(f"__{d}") for d in dims])
+    for done in (joined.groupBy("__shard", *[f"__{d}" for d in dims]).applyInPandas(save, "cells long"), ranks.groupBy("__shard").applyInPandas(save_times, "cells long")):
+        done.agg(F.sum("cells")).collect()  # a single row
     for name, var in s.vars.items():
         shape = [total if d == t else s.dims[d] for d in var.dims]
         objects.put(path, f"{name}/zarr.json", _array_json(shape, [s.shard[d] for d in var.dims], [s.chunk[d] for d in var.dims], var.dtype, var.dims, var.attrs, s.profile))
     attrs = s.coords.get(t, (None, {}))[1]
     objects.put(path, f"{t}/zarr.json", _array_json([total], [per], [s.chunk[t]], "f8", [t], attrs, s.profile))
-    shards = [{"shard": k, "t_start": known[k * per], "t_end": known[min(total, (k + 1) * per) - 1], "n_records": min(total, (k + 1) * per) - k * per} for k in range(math.ceil(total / per))]
-    new = old | {"total_records": total, "last_t": known[-1], "shards": shards}
+    shards = {x["shard"]: x for x in old["shards"]}
+    for r in found:
+        before = shards.get(r["__shard"], {"t_start": r["low"], "n_records": 0})
+        shards[r["__shard"]] = {"shard": r["__shard"], "t_start": before["t_start"], "t_end": r["high"], "n_records": before["n_records"] + r["n"]}
+    new = old | {"total_records": total, "last_t": found[-1]["high"], "shards": [shards[k] for k in sorted(shards)]}
     objects.put(path, "manifest.json", json.dumps(new, sort_keys=True).encode())
     return new
 
 
-def _read_back(path, name, shard, s, var, sizes) -> np.ndarray:
+def _read_back(path, name, shard, s, var, ids, shape) -> np.ndarray:
+    """One written shard of a variable, whole; zeros where none was written."""
     meta = read_meta(path, name)
-    rest = [d for d in var.dims if d != s.time_dim]
-    out = np.zeros([s.shard[s.time_dim], *sizes], var.dtype)
+    out = np.zeros(shape, var.dtype)
     per = [c // i for c, i in zip(meta.chunk, meta.inner)]
-    for ids in itertools.product(*[range(n // s.shard[d]) for n, d in zip(sizes, rest)]):
-        key = f"{name}/c/" + "/".join(map(str, (shard, *ids)))
-        for at, data in read_inner(path, key, meta, list(itertools.product(*map(range, per)))):
-            start = [i * c for i, c in zip((0, *ids), meta.chunk)]
-            out[tuple(slice(b + i * n, b + (i + 1) * n) for b, i, n in zip(start, at, meta.inner))] = data
+    for at, data in read_inner(path, f"{name}/c/" + "/".join(map(str, (shard, *ids))), meta, list(itertools.product(*map(range, per)))):
+        out[tuple(slice(i * n, (i + 1) * n) for i, n in zip(at, meta.inner))] = data
     return out
 
 
-def _times(path: str, t: str, total: int) -> list[float]:
-    if not total:
-        return []
-    meta = read_meta(path, t)
-    out = []
-    for k in range(math.ceil(total / meta.chunk[0])):
-        for _, data in read_inner(path, f"{t}/c/{k}", meta, [(i,) for i in range(meta.chunk[0] // meta.inner[0])]):
-            out += data.tolist()
-    return out[:total]
-
-
 def sink(stream: DataFrame, path: str, s: OutputSchema, checkpoint: str, **trigger):
     """Start a query that appends each micro-batch; what was written before a restart is skipped by its time."""
     return stream.writeStream.foreachBatch(lambda batch, _: write(batch, path, s) and None).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
