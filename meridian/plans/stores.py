@@ -262,7 +262,7 @@ def _daily(spark, events) -> tuple[str, list]:
 def _provider(spark, events, records: int):
     folder, days = _daily(spark, events)
     day = datetime.timedelta(days=1)
-    c = Cadence(days[0], datetime.timedelta(hours=12), day, days[-1] + day, records_per_sample=records)
+    c = Cadence(days[0], datetime.timedelta(hours=12), day, days[-1] + 2 * day, records_per_sample=records)
     return Provider(spark, Source("daily", "netcdf", folder + "/%Y%m%d.nc", c, variables=("event", "value")), window=(days[0], days[-1] + day)), days
 
 
@@ -281,6 +281,25 @@ def provider_record(spark, events):
     return out
 
 
+@query(
+    f"""WITH e AS (SELECT CAST(ts AS DATE) AS day, ts, event_id, value, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS n FROM events),
+        f AS (SELECT d.day, d.noon, max(e.ts) AS at FROM {_NOON} d JOIN e ON e.day = d.day AND e.ts <= d.noon GROUP BY ALL),
+        g AS (SELECT f.day, f.noon, min(e.n) AS n FROM f JOIN e ON e.day = f.day AND e.ts = f.at GROUP BY ALL)
+        SELECT g.noon AS anchor, t.k AS time_idx, epoch(g.noon + t.k * INTERVAL '12 hours') AS time, CAST(e.event_id AS DOUBLE) AS event, e.value
+        FROM g, (SELECT unnest([0, 1])::INTEGER AS k) t JOIN e ON e.day = g.day AND e.n = g.n + t.k""",
+    "events",
+)
+def provider_bracket(spark, events):
+    """The record current at noon of every day and its successor, with the instants of both ticks as their coordinate."""
+    p, days = _provider(spark, events, 2)
+    out = None
+    for day in days:
+        noon = day + datetime.timedelta(hours=12)
+        one = p.refresh(noon + datetime.timedelta(minutes=30))[0].select(F.lit(noon).cast("timestamp_ntz").alias("anchor"), "time_idx", "time", "event", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT strftime(ts, '%Y%m%d') AS file, count(*) AS n_records FROM events GROUP BY 1", "events")
 def time_lengths(spark, events):
     """How many records each daily file holds, from its header."""
