@@ -13,9 +13,10 @@ def cache_key(url: Column, first=None, last=None) -> Column:
     return F.sha2(url.cast("binary"), 256)
 
 
-def scheme_of(url: Column) -> Column:
-    """The lower-case scheme; null if the address has none."""
-    return F.nullif(F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), F.lit(""))
+def scheme_of(url: Column, strict: bool = False) -> Column:
+    """The lower-case scheme; null if the address has none, or an error if `strict`."""
+    found = F.nullif(F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), F.lit(""))
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("no scheme: "), url)).cast("string")) if strict else found
 
 
 def ext_of(url: Column) -> Column:

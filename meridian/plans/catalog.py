@@ -142,35 +142,12 @@ def cell_centres(spark, part):
     return part.select("p_partkey", decode.centre_x(col, -121.5, 0.5).alias("x"), decode.centre_y(row, 40, 0.25).alias("y"))
 
 
-@query("SELECT p_partkey, lpad(CAST(p_size AS VARCHAR), 5, '0') AS code, CAST(p_size AS DOUBLE) AS size FROM part", "part")
-def csv_numeric_declared(spark, part):
-    text = part.select("p_partkey", F.lpad(F.col("p_size").cast("string"), 5, "0").alias("code"))
-    return text.select("p_partkey", "code", F.col("code").cast("double").alias("size"))
-
-
-@query("SELECT bool_and(try_cast(CAST(p_size AS VARCHAR) AS DOUBLE) IS NOT NULL) AS size_is_number, bool_and(try_cast(p_name AS DOUBLE) IS NOT NULL) AS name_is_number FROM part", "part")
-def csv_infer_numeric(spark, part):
-    return part.agg(*[F.bool_and(F.col(c).cast("string").try_cast("double").isNotNull()).alias(n) for c, n in (("p_size", "size_is_number"), ("p_name", "name_is_number"))])
-
-
 @query("SELECT event_id, CASE WHEN event_type = 'click' THEN NULL ELSE value END AS value FROM events", "events")
 def blank_to_nan(spark, events):
     cell = F.when(F.col("event_type") == "click", F.lit("  ")).otherwise(F.col("value").cast("string"))
     return events.select("event_id", decode.blank_to_missing(cell, "null").alias("value"))
 
 
-@query("SELECT doc_id, count(*) AS n_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' AND NOT ltrim(line) LIKE '#%' GROUP BY doc_id", "documents")
-def comment_filter(spark, documents):
-    lines = documents.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-    return lines.where((F.trim("line") != "") & ~F.ltrim("line").startswith("#")).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
-
-
-@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n > 1", "conversations")
-def header_skip(spark, conversations):
-    n = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
-    return conversations.withColumn("n", n).where("n > 1").select("conv_id", "turn", "role")
-
-
 @query("SELECT page_id FROM pages WHERE url GLOB '*/*[0-4]?*' AND NOT url GLOB '*[!a-z]9*'", "pages")
 def glob_members(spark, pages):
     return pages.where(F.col("url").rlike(keys.glob_regex("*/*[0-4]?*")) & ~F.col("url").rlike(keys.glob_regex("*[!a-z]9*"))).select("page_id")
@@ -342,29 +319,6 @@ def ring_pad(spark, lineitem):
     return padded.withColumn("vertex", F.col("vertex").cast("long"))
 
 
-@query("SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1 AS part_index, count(*) OVER (PARTITION BY l_orderkey) AS n_parts, l_quantity AS x FROM lineitem", "lineitem")
-def part_explode(spark, lineitem):
-    parts = lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("parts"))
-    out = parts.select("l_orderkey", F.size("parts").cast("long").alias("n_parts"), F.posexplode_outer("parts").alias("part_index", "part"))
-    return out.select("l_orderkey", F.col("part_index").cast("long").alias("part_index"), "n_parts", F.col("part.l_quantity").alias("x"))
-
-
-@query("SELECT c_nationkey, min(c_custkey) AS xmin, min(c_acctbal) AS ymin, max(c_custkey) AS xmax, max(c_acctbal) AS ymax FROM customer GROUP BY 1", "customer")
-def bounding_box(spark, customer):
-    return customer.groupBy("c_nationkey").agg(F.min("c_custkey").alias("xmin"), F.min("c_acctbal").alias("ymin"), F.max("c_custkey").alias("xmax"), F.max("c_acctbal").alias("ymax"))
-
-
-@query(f"SELECT CAST(vec_id AS INTEGER) AS vec, CAST(dim AS INTEGER) AS dim, value, dim * CAST(0.25 AS DOUBLE) - 8 AS lon FROM {_DIMS}", "embeddings")
-def coord_join(spark, embeddings):
-    lon = spark.range(64).select(F.col("id").cast("int").alias("dim"), (F.col("id") * 0.25 - 8).alias("lon"))
-    return _cells(embeddings).join(F.broadcast(lon), "dim").select("vec", "dim", "value", "lon")
-
-
-@query("SELECT count(*) AS n_vec, max(len(embedding)) AS n_dim FROM embeddings", "embeddings")
-def shape_probe(spark, embeddings):
-    return embeddings.agg(F.count("*").alias("n_vec"), F.max(F.size("embedding")).cast("long").alias("n_dim"))
-
-
 # E. Cadence, lookup, append
 
 _TICKS = "(SELECT TIMESTAMP '2024-01-01' + i * INTERVAL '45 minutes' AS anchor FROM range(0, 960) t(i))"
@@ -432,12 +386,6 @@ def resume_after(spark, events):
     return cadence.resume_after(events.select("event_id", "ts"), "ts", "2024-01-20 12:00:00")
 
 
-@query("SELECT CAST(ts AS DATE) AS day, count(*) AS appended, CAST(sum(count(*)) OVER (ORDER BY CAST(ts AS DATE)) AS BIGINT) AS length FROM events GROUP BY 1", "events")
-def append_resize(spark, events):
-    days = events.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("appended"))
-    return days.withColumn("length", F.sum("appended").over(W.orderBy("day")))
-
-
 # F. Sets, checks, registry
 
 

@@ -70,7 +70,7 @@ class Provider:
     With `cache_root`, files are fetched into the cache first and read there. `window` (start, end) bounds refresh_times and prefetch.
     """
 
-    def __init__(self, spark: SparkSession, source: Source, window: tuple | None = None, cache_root: str | None = None, transports: dict | None = None, headers: dict | None = None, offline: bool = False, formats=FORMATS):
+    def __init__(self, spark: SparkSession, source: Source, window: tuple | None = None, cache_root: str | None = None, transports: dict | None = None, headers: dict | None = None, offline: bool | None = None, formats=FORMATS):
         self.spark, self.source, self.cache_root = spark, source, cache_root
         self._reader = None if source.format == "zarr" else formats[source.format]
         accepted = set(ZARR_OPTIONS) if self._reader is None else set(inspect.signature(self._reader).parameters) - {"spark", "path"}

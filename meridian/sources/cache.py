@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators.order import durable
-from . import objects
-from .errors import CacheMiss, FetchError, IntegrityError, Offline
+from . import objects, settings
+from .errors import CacheMiss, FetchError, IntegrityError
 from .jobs import JobError, JobService
 from .registry import Registry
 
@@ -48,12 +48,48 @@ def _body(response, size: int = 1 << 20):
         raise FetchError(f"{response.url}: {got} of {want} bytes", False)
 
 
+@dataclass(frozen=True)
+class Temporal:
+    """How long an object stays fresh: for ever, or for a time to live. `columns` are those that `fetch` takes."""
+
+    immutable: bool = True
+    ttl_seconds: int | None = None
+
+    @classmethod
+    def static(cls) -> Temporal:
+        """Never changes once fetched."""
+        return cls()
+
+    @classmethod
+    def closed_period(cls) -> Temporal:
+        """A period that is over: never changes either."""
+        return cls()
+
+    @classmethod
+    def incomplete(cls, ttl) -> Temporal:
+        """A period that still grows: fresh for `ttl` (seconds or a duration)."""
+        return cls(False, int(ttl.total_seconds() if isinstance(ttl, datetime.timedelta) else ttl))
+
+    def columns(self) -> dict:
+        return {"immutable": F.lit(self.immutable), "ttl_seconds": F.lit(self.ttl_seconds).cast("long")}
+
+
 def over_http(url: str, headers: dict, known: dict) -> Fetched:
-    """GET; with known validators a conditional one."""
+    """GET; with known validators a conditional one. HTTP_TRIES, HTTP_BACKOFF_S and HTTP_TIMEOUT_S are settings; only what is neither there nor surely absent is tried again."""
+    tries, wait = int(settings.number("HTTP_TRIES", 1)), settings.number("HTTP_BACKOFF_S", 1)
+    for k in range(tries):
+        got = _over_http(url, headers, known)
+        if got.status != "unknown" or k + 1 == tries:
+            return got
+        time.sleep(min(10.0, wait * 2**k))
+    return got
+
+
+def _over_http(url: str, headers: dict, known: dict) -> Fetched:
     asks = {"If-None-Match": known.get("etag"), "If-Modified-Since": known.get("last_modified")}
     sent = headers | {k: v for k, v in asks.items() if v}
     try:
-        r = urllib.request.urlopen(urllib.request.Request(url, headers=sent), timeout=600)
+        r = urllib.request.urlopen(urllib.request.Request(url, headers=sent), timeout=settings.number("HTTP_TIMEOUT_S", 600))
         return Fetched("ok", _body(r), r.headers.get("ETag"), r.headers.get("Last-Modified"))
     except urllib.error.HTTPError as e:
         if e.code == 304 and any(asks.values()):
@@ -64,8 +100,8 @@ def over_http(url: str, headers: dict, known: dict) -> Fetched:
 
 
 def over_store(url: str, headers: dict, known: dict) -> Fetched:
-    """Files and object stores; these have no conditional read."""
-    base, _, key = url.rpartition("/")
+    """Files (`${DATADIR}` is expanded) and object stores; these have no conditional read."""
+    base, _, key = settings.expand(url).rpartition("/")
     try:
         got = objects.get(base, key)
     except OSError:
@@ -105,12 +141,13 @@ def check_manifest(record: dict) -> None:
 
 
 @contextlib.contextmanager
-def locked(root: str, key: str, stale_seconds: float = 3600.0, poll_seconds: float = 0.05):
+def locked(root: str, key: str, stale_seconds: float | None = None, poll_seconds: float = 0.05):
     """Hold a key of the cache: an exclusive file on local and shared disks; one left behind is taken over once it is stale. Other stores have none."""
     system, base = objects.open_base(root)
     if not isinstance(system, fs.LocalFileSystem):
         yield
         return
+    stale_seconds = stale_seconds or settings.number("LOCK_STALE_S", 3600)
     path = f"{base}/locks/{key}"
     os.makedirs(os.path.dirname(path), exist_ok=True)
     while True:
@@ -168,7 +205,7 @@ FETCHED = "key string, url string, status string, path string"
 OPTIONAL = {"mirrors": "array<string>", "expected_sha": "string", "immutable": "boolean", "ttl_seconds": "long"}
 
 
-def fetch(urls: DataFrame, root: str, offline: bool = False, headers: dict | None = None, realm: str | None = None, transports: dict | None = None, loader: str | None = None, verify_on_read: bool = False) -> DataFrame:
+def fetch(urls: DataFrame, root: str, offline: bool | None = None, headers: dict | None = None, realm: str | None = None, transports: dict | None = None, loader: str | None = None, verify_on_read: bool = False) -> DataFrame:
     """Bring every url into the cache; returns (key, url, status, path) with status hit, not_modified or downloaded.
 
     Beside `url`, `urls` may have the columns of OPTIONAL; an address counts as immutable unless it says otherwise. What is held
@@ -177,9 +214,12 @@ def fetch(urls: DataFrame, root: str, offline: bool = False, headers: dict | Non
     trusted: the object is fetched again. A digest other than the expected one raises IntegrityError and nothing is stored.
     A task locks a key while it fetches and looks again once it has the lock, so several jobs at once download an object once.
     With `verify_on_read`, hits are held against their manifests first; a difference raises IntegrityError.
-    Offline, what is held (with or without a manifest) is a hit and missing keys raise CacheMiss.
+    Credentials are those given as `headers`, else those of the `realm` (an unknown one is refused). Offline (by default as the setting says),
+    what is held (with or without a manifest) is a hit and missing keys raise CacheMiss.
     """
     spark = urls.sparkSession
+    offline = settings.flag("OFFLINE") if offline is None else offline
+    headers = (settings.REALMS.headers(realm) if realm and headers is None else headers) or {}
     for name, kind in OPTIONAL.items():
         if name not in urls.columns:
             urls = urls.withColumn(name, F.lit(None).cast(kind))

@@ -261,3 +261,32 @@ def test_rotated_grids():
     assert t.centres(0, 0) == (-0.75, 1.875) and t.projected is False
     t.affine = (1.0, 2.0, 3.0, 4.0, 5.0, 6.0)
     assert t.centres(1, 2) == (2.5 + 3.0 + 3.0, 10.0 + 7.5 + 6.0)
+
+
+def test_dumps_are_compared(spark, folder):
+    from meridian.plans import dumps
+
+    def decode(shift=0.0):
+        df = files.netcdf(spark, f"{folder}/20200101.nc", variables=["v"]).selectExpr("time_idx", "x_idx", f"v + {shift} AS v")
+        return {"variables": {"v": dumps.field(df, ["time", "x"], "v")}, "coords": {"x": dumps.field(netcdf.coordinates(spark, f"{folder}/20200101.nc")["x"], ["x"], "x", units="m")}}
+
+    cases = {"one": ("netcdf", decode), "two": ("grib", decode)}
+    a = dumps.dump("native-dump/v1", "p", ["netcdf", "csv"], cases)
+    b = dumps.dump("native-dump/v1", "p", ["netcdf"], {"one": ("netcdf", lambda: decode(1e-7)), "two": ("grib", decode)})
+    c = dumps.dump("native-dump/v1", "p", ["netcdf"], {"one": ("netcdf", lambda: decode(1.0))})
+    assert a["cases"]["one"]["variables"]["v"]["shape"] == [4, 2] and a["cases"]["two"]["status"] == "skipped" and a["cases"]["one"]["coords"]["x"]["data"] == [5.0, 6.0]
+    assert dumps.differences(a, b) == [] and dumps.differences(a, c) == ["one/v[0]: 100.0 and 101.0", "two: missing"]
+    assert dumps.uncovered([a, b]) == ["two"] and dumps.uncovered([a, c], everyone=True) == ["two"]
+    assert dumps.same(None, None) and not dumps.same(None, 0.0)
+
+
+def test_freshness_kinds_and_strict_schemes(spark):
+    from meridian.functions import keys
+
+    assert cache.Temporal.static() == cache.Temporal.closed_period() and cache.Temporal.incomplete(HOUR).ttl_seconds == 3600
+    df = spark.createDataFrame([("S3://x",), ("none",)], "u string")
+    from pyspark.sql import functions as F
+
+    assert [r[0] for r in df.select(keys.scheme_of(F.col("u"))).collect()] == ["s3", None]
+    with pytest.raises(Exception, match="no scheme"):
+        df.select(keys.scheme_of(F.col("u"), strict=True)).collect()
