@@ -142,6 +142,12 @@ def cell_centres(spark, part):
     return part.select("p_partkey", decode.centre_x(col, -121.5, 0.5).alias("x"), decode.centre_y(row, 40, 0.25).alias("y"))
 
 
+@query("SELECT p_partkey, CAST(0.5 AS DOUBLE) * (p_partkey % 50 + CAST(0.5 AS DOUBLE)) + CAST(0.25 AS DOUBLE) * (p_partkey // 50 + CAST(0.5 AS DOUBLE)) + CAST(-121.5 AS DOUBLE) AS x FROM part", "part")
+def affine_centres(spark, part):
+    row, col = F.floor(F.col("p_partkey") / 50), F.col("p_partkey") % 50
+    return part.select("p_partkey", decode.affine_centre(row, col, 0.5, 0.25, -121.5).alias("x"))
+
+
 @query("SELECT event_id, CASE WHEN event_type = 'click' THEN NULL ELSE value END AS value FROM events", "events")
 def blank_to_nan(spark, events):
     cell = F.when(F.col("event_type") == "click", F.lit("  ")).otherwise(F.col("value").cast("string"))
