@@ -18,6 +18,7 @@ from ..functions import decode, times
 from ..operators import select
 from ..operators.order import numbered, scratch
 from ..sources import cache, codecs, files, netcdf, objects, requests, settings, zarr, zarr_sink
+from ..streaming.ticks import TickSource
 from . import encoders
 from .catalog import _DIMS, query
 from .provider import Cadence, Provider, Source
@@ -322,6 +323,37 @@ def cds_request_json(spark, nation):
     return made.select("n_nationkey", "url")
 
 
+@query("SELECT i AS tick_index, TIMESTAMP '2024-01-01' + i * INTERVAL '3 hours' AS anchor, epoch(TIMESTAMP '2024-01-01' + i * INTERVAL '3 hours') AS epoch_s FROM range(0, 240) t(i)")
+def stream_ticks(spark):
+    """The ticks of a month as a stream, in micro-batches, each exactly once."""
+    folder = _folder(spark, "ticks")
+    spark.dataSource.register(TickSource)
+    ticks = spark.readStream.format("cadence_ticks").options(start="2024-01-01 00:00:00", step_seconds="10800", end="2024-01-31 00:00:00", ticks_per_batch="100").load()
+    running = ticks.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress").start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return spark.read.parquet(f"{folder}/rows")
+
+
+@query("SELECT epoch(TIMESTAMP '2024-01-01' + i * INTERVAL '3 hours') AS at, CAST(x AS INTEGER) AS x, CAST(i * 10 + x AS DOUBLE) AS value FROM range(0, 240) t(i), range(0, 3) u(x)")
+def stream_shards(spark):
+    """A stream of records appended to sharded arrays micro-batch by micro-batch; batches end inside shards, which are committed anew."""
+    base = _folder(spark, "streamed")
+    spark.dataSource.register(TickSource)
+    ticks = spark.readStream.format("cadence_ticks").options(start="2024-01-01 00:00:00", step_seconds="10800", end="2024-01-31 00:00:00", ticks_per_batch="90").load()
+    cells = ticks.select(F.col("epoch_s").alias("t"), F.explode(F.array(*map(F.lit, range(3)))).alias("x"), "tick_index").select("t", "x", (F.col("tick_index") * 10 + F.col("x")).cast("double").alias("v"))
+    schema = zarr_sink.OutputSchema({"t": 0, "x": 3}, "t", {"v": zarr_sink.OutputVar(["t", "x"])}, {"t": 16, "x": 3}, {"t": 64, "x": 3}, {"x": (np.arange(3), {}), "t": (None, {"units": "seconds since 1970-01-01"})})
+    running = zarr_sink.sink(cells, base, schema, f"{base}-progress", processingTime="0 seconds")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    at = _read(spark, base, "t").select("t", F.col("value").alias("at"))
+    return _read(spark, base, "v").join(at, "t").select("at", "x", "value")
+
+
 @query("SELECT max(abs(o_totalprice - (o_totalprice + CAST(1e-7 AS DOUBLE)))) AS most, true AS same_mask, count(*) AS n FROM orders", "orders")
 def max_difference(spark, orders):
     """Two versions of an array: the largest difference, and whether their missing cells are the same."""
