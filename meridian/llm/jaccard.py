@@ -231,22 +231,32 @@ def _in_blocks(df: DataFrame, blocks, key: str) -> DataFrame:
     return df.withColumn("own", own).withColumn("partner", partner).withColumn("left", F.least("own", "partner")).withColumn("right", F.greatest("own", "partner")).drop("partner")
 
 
-def _contract(batches):
-    """The links of a task as stars: each batch's components, every member linked to the least one. What is connected stays so."""
-    for b in batches:
-        a, z = (b.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
-        if not len(a):
-            continue
+def _contract(batches, at_once: int = 100_000):
+    """The links of a task as stars: the components of `at_once` links at a time, every member linked to the least one. What is connected stays so."""
+    held, n = [], 0
+
+    def stars():
+        a, z = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("a", "b"))
         keys, at = np.unique(np.concatenate([a, z]), return_inverse=True)
         label = least_label(len(keys), at[: len(a)], at[len(a) :])
         moved = np.flatnonzero(label != np.arange(len(keys)))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[moved].tolist(), pa.binary()), pa.array(keys[label[moved]].tolist(), pa.binary())], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(keys[moved].tolist(), pa.binary()), pa.array(keys[label[moved]].tolist(), pa.binary())], ["a", "b"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= at_once:
+            yield stars()
+            held, n = [], 0
+    if held:
+        yield stars()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(key, root): the least key of each connected component of links (a, b). Labels fall along links and then jump to their label's label until nothing changes."""
-    for by in ("b", "a"):  # links that meet in a task become stars, so few rounds are left
-        links = links.where("a <> b").repartition(by).mapInArrow(_contract, "a binary, b binary")
+    stars = links.where("a <> b").mapInArrow(_contract, "a binary, b binary")  # links that meet in a task become stars, so few rounds are left
+    links = stars.repartition("a").mapInArrow(_contract, "a binary, b binary")  # and so do those that share a member
     both = durable(links.select("a", "b").union(links.select("b", "a")).distinct())
     label = durable(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("near")).select("key", F.least("key", "near").alias("root")))
     while True:
@@ -271,7 +281,6 @@ def _sets(batches):
 
 def similar(sets: list[np.ndarray], threshold: float, left: np.ndarray, right: np.ndarray, room: int = 4 << 20):
     """Index pairs (i of left, j of right) with exact Jaccard >= threshold, by matrix products over the shingles that occur twice."""
-    chunk = max(256, room // max(len(left), len(right), 1))
     sizes = np.array([len(s) for s in sets], np.float64)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     who = np.repeat(np.arange(len(sets)), sizes.astype(int))
@@ -285,7 +294,9 @@ def similar(sets: list[np.ndarray], threshold: float, left: np.ndarray, right: n
     row_l, row_r = np.full(len(sets), -1), np.full(len(sets), -1)
     row_l[left], row_r[right] = np.arange(len(left)), np.arange(len(right))
     met = np.zeros((len(left), len(right)), np.float32)
-    for lo in range(0, int(common.sum()), chunk):
+    total = int(common.sum())
+    chunk = max(1, min(total, 8192, room // max(len(left), len(right), 1)))
+    for lo in range(0, total, chunk):
         a, b = np.searchsorted(col, [lo, lo + chunk])
         w, c = who[a:b], col[a:b] - lo
         x, y = (np.zeros((len(s), chunk), np.float32) for s in (left, right))
