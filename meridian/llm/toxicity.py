@@ -6,8 +6,11 @@ Viterbi search over all contexts of the character language model (n-grams with b
 likeliest reading of a token or spaced run of any length, whole. The reading takes the token's place, and the restored text's
 distinct words and their stems feed a logistic model whose vocabulary and weights come from labelled documents.
 
-The labelled sample is bounded by two parameters: at most `max_labelled` documents and `max_bytes` of text, taken in the order
-of a hash of doc_id and text. Labels of one document that disagree are settled by majority, ties as toxic.
+All labelled documents outside the held-out fold are learned from, wherever they are: word types, counts of words and the
+gradients of the weights are summed by Spark, and the driver holds the characters' counts and the telling words only. Sums that
+steer the weights are integers, so the layout of the tables doesn't matter. A caller may ask for a sample instead, of
+`max_labelled` documents and `max_bytes` of text at most, taken in the order of a hash of doc_id and text. Labels of one
+document that disagree are settled by majority, ties as toxic.
 
 Defined results: null, empty or wordless text scores as a text without any known word; texts of any length are scored whole;
 rows with a null label or a null id never train; repeated rows score equally and train once; without labels of both kinds
@@ -19,15 +22,17 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded, small
+from ._common import bounded, durable, small
 from .langid import held_out
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -46,6 +51,15 @@ _REPEAT = re.compile(r"([^\W\d_])\1\1")
 _MAIL = re.compile(r"\S+@\S+\.\S+|https?:|\d{1,3}(\.\d{1,3}){3}|(?<!\w)(?=[a-f]*\d)[0-9a-f]{16,}(?!\w)")  # mails, addresses and hexadecimal strings are no words
 
 
+def grams(words, order: int = 5) -> Counter:
+    """How often each character comes after each of its last 0..order-1 characters."""
+    counts: Counter = Counter()
+    for w in words:
+        padded = "^" + w + "$"
+        counts.update((padded[i - n : i], padded[i]) for i in range(1, len(padded)) for n in range(min(order, i + 1)))
+    return counts
+
+
 @dataclass
 class CharModel:
     """Counts of characters after their last 1..order-1 characters, over word types."""
@@ -56,14 +70,15 @@ class CharModel:
 
     @classmethod
     def train(cls, words, order: int = 5) -> CharModel:
-        counts: dict[str, Counter] = defaultdict(Counter)
-        for w in words:
-            padded = "^" + w + "$"
-            for i in range(1, len(padded)):
-                for n in range(order):
-                    if i - n >= 0:
-                        counts[padded[i - n : i]][padded[i]] += 1
-        return cls(order, {k: (sum(c.values()), dict(c)) for k, c in counts.items()})
+        return cls.counted([(*k, n) for k, n in grams(words, order).items()], order)
+
+    @classmethod
+    def counted(cls, rows, order: int = 5) -> CharModel:
+        """From (characters before, character, count), each pair once."""
+        seen: dict[str, dict] = defaultdict(dict)
+        for past, ch, n in sorted(rows):
+            seen[past][ch] = n
+        return cls(order, {past: (sum(by.values()), by) for past, by in seen.items()})
 
     def cost(self, past: str, ch: str) -> float:
         """Minus log probability, by interpolation from the longest context that was seen (Witten-Bell)."""
@@ -199,46 +214,100 @@ class Model:
     bias: float
 
 
-def fit(texts: list[str], labels: list[int], least: int = 3, most_words: int = 2000, most_types: int = 20_000, steps: int = 400) -> Model:
-    """Choose words that occur in clearly more of the label-1 documents and fit a ridge logistic model on their presence."""
+def type_of(word: bytes) -> str | None:
+    """The word if the character model may learn from it: letters only, 24 at most."""
+    if 2 <= len(word) <= 48 and (s := word.decode("utf-8", "ignore")).isalpha() and len(s) <= 24:
+        return s
+    return None
+
+
+def clear(one: np.ndarray, zero: np.ndarray, n1: int, n0: int, least: int = 3) -> np.ndarray:
+    """Which words occur in clearly more of the n1 label-1 documents (in `one` of them) than of the n0 others (in `zero`)."""
+    p, q, both = one / n1, zero / n0, (one + zero) / (n1 + n0)
+    z = (p - q) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
+    return (one >= least) & (z > 4) & ((p + 0.5 / n1) / (q + 0.5 / n0) > 3)
+
+
+_UNIT = 1 << 28  # losses and errors are summed as whole numbers of 1 / _UNIT, so their order is of no account
+
+
+def slope(features: np.ndarray, lengths: np.ndarray, label: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Loss, then its gradient, in units, over n[i] documents with label[i] and the next lengths[i] of `features`; `at` is weights, then bias."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    z = np.clip(np.bincount(row, at[:-1][features], len(lengths)) + at[-1], -30, 30)
+    err = np.rint((1 / (1 + np.exp(-z)) - label) * _UNIT).astype(np.int64) * n
+    out = np.zeros(len(at) + 1, np.int64)
+    out[0] = (np.rint((np.logaddexp(0, z) - label * z) * _UNIT).astype(np.int64) * n).sum()
+    np.add.at(out[1:-1], features, err[row])
+    out[-1] = err.sum()
+    return out
+
+
+def climb(summed, counts: np.ndarray, n1: int, n0: int, ridge: float = 0.02, steps: int = 300, near: float = 1e-3, memory: int = 12) -> np.ndarray:
+    """Weights, then bias, of the ridge logistic model by L-BFGS; `summed` gives the slope at a point, `counts` in how many documents each feature is."""
+    scale = 1 / np.sqrt(0.25 * np.append(counts, n1 + n0) + ridge)
+    shrink = np.append(np.full(len(counts), ridge), 0.0)
+
+    def value(x):
+        at = x * scale
+        got = summed(at) / _UNIT
+        return got[0] + 0.5 * float(np.sum(shrink * at * at)), (got[1:] + shrink * at) * scale
+
+    x = np.append(np.zeros(len(counts)), math.log(n1 / n0)) / scale
+    loss, grad = value(x)
+    past: list[tuple] = []
+    for _ in range(steps):
+        if np.abs(grad).max() <= near:
+            break
+        step, kept = -grad, []
+        for ds, dg, r in reversed(past):
+            kept.append(r * (ds @ step))
+            step = step - kept[-1] * dg
+        if past:
+            step = step * ((past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]))
+        for (ds, dg, r), k in zip(past, reversed(kept)):
+            step = step + (k - r * (dg @ step)) * ds
+        down, size = float(grad @ step), 1.0
+        while True:
+            new = x + size * step
+            there, slant = value(new)
+            if there <= loss + 1e-4 * size * down or size < 1e-6:
+                break
+            size /= 2
+        if there >= loss:
+            break
+        ds, dg = new - x, slant - grad
+        if ds @ dg > 0:
+            past = [*past, (ds, dg, 1 / (ds @ dg))][-memory:]
+        x, loss, grad = new, there, slant
+    return x * scale
+
+
+def fit(texts: list[str], labels: list[int]) -> Model:
+    """Choose words that occur in clearly more of the label-1 documents and fit a ridge logistic model on their presence. `train` does the same over tables."""
     types: Counter = Counter()
     for t in texts:
-        types.update(w for w in words_of(t, None, {}) if 2 <= len(w) <= 48)
-    ranked = sorted((w for w in types if types[w] > 1), key=lambda w: (-types[w], w))[:most_types]
+        types.update({s for w in words_of(t, None, {}) if (s := type_of(w))})
+    chars = CharModel.train(w for w in types if types[w] > 1)
     del types
-    chars = CharModel.train([s for w in ranked if (s := w.decode("utf-8", "ignore")).isalpha() and len(s) <= 24])
-    cache: dict = {}
-    number: dict[bytes, int] = {}  # documents are kept as arrays of feature numbers
-    bags = [np.array(sorted(number.setdefault(w, len(number)) for w in stems(words_of(t, chars, cache))), np.int32) for t in texts]
-    y = np.array(labels, float)
-    n1, n0 = y.sum(), (1 - y).sum()
+    n1 = sum(map(bool, labels))
+    n0 = len(labels) - n1
     if not n1 or not n0:
         return Model(chars, {}, 20.0 if n1 else -20.0)
+    cache: dict = {}
+    number: dict[bytes, int] = {}  # documents are kept as arrays of feature numbers
+    bags = [np.array([number.setdefault(w, len(number)) for w in stems(words_of(t, chars, cache))], np.int32) for t in texts]
     one, zero = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
     for bag, label in zip(bags, labels):
         (one if label else zero)[bag] += 1
-    p, q, both = one / n1, zero / n0, (one + zero) / (n1 + n0)
-    z = (p - q) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
-    clear = (one >= least) & (z > 4) & ((p + 0.5 / n1) / (q + 0.5 / n0) > 3)
-    rank = {w: z[i] for w, i in number.items() if clear[i]}
-    vocab = sorted(rank, key=lambda w: (-rank[w], w))[:most_words]
-    at = {w: i for i, w in enumerate(vocab)}
+    telling = clear(one, zero, n1, n0)
+    vocab = sorted(w for w, i in number.items() if telling[i])
     column = np.full(len(number), -1)
     column[[number[w] for w in vocab]] = np.arange(len(vocab))
-    x = np.zeros((len(bags), len(vocab)), np.float32)
-    for i, bag in enumerate(bags):
-        x[i, (c := column[bag])[c >= 0]] = 1
-    del number, bags
-    beta, bias = np.zeros(len(vocab)), math.log(n1 / n0)
-    speed, moved = np.zeros(len(vocab) + 1), np.zeros(len(vocab) + 1)
-    for k in range(1, steps + 1):  # Adam
-        err = 1 / (1 + np.exp(-np.clip(x @ beta.astype(np.float32) + bias, -30, 30))) - y
-        grad = np.append(x.T @ err.astype(np.float32) + 0.02 * beta, err.sum()) / len(y)
-        moved = 0.9 * moved + 0.1 * grad
-        speed = 0.999 * speed + 0.001 * grad**2
-        step = 0.05 * (moved / (1 - 0.9**k)) / (np.sqrt(speed / (1 - 0.999**k)) + 1e-8)
-        beta, bias = beta - step[:-1], bias - step[-1]
-    return Model(chars, {w: float(beta[i]) for w, i in at.items()}, float(bias))
+    rows = [np.sort((c := column[bag])[c >= 0]) for bag in bags]
+    packed = np.concatenate(rows), np.array([len(r) for r in rows]), np.array(labels, np.int64), np.ones(len(rows), np.int64)
+    at = climb(lambda x: slope(*packed, x), np.array([(one + zero)[number[w]] for w in vocab]), n1, n0)
+    return Model(chars, dict(zip(vocab, at[:-1].tolist())), float(at[-1]))
 
 
 def stems(words: set[bytes], sizes=STEMS) -> set[bytes]:
@@ -258,16 +327,129 @@ def settled(labels: DataFrame) -> DataFrame:
     return known.groupBy(F.col("doc_id").alias("doc_id")).agg((F.avg(F.col("toxic").cast("int")) >= 0.5).cast("int").alias("label"))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_bytes: int = 64 << 20) -> Model:
-    """Fit on at most `max_labelled` labelled documents of at most `max_bytes` together, outside the held-out fold."""
-    ids = settled(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    own = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    marked = own.join(F.broadcast(ids), "doc_id").select("doc_id", "label", F.xxhash64("doc_id", "text").alias("mark"), F.octet_length("text").alias("size"), "text")
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int | None = None, max_bytes: int = 64 << 20) -> Model:
+    """Fit on all labelled documents outside the held-out fold; if `max_labelled` is given, on at most that many of at most `max_bytes` together."""
+    known = settled(labels)
+    if max_labelled is None:
+        return fit_whole(labelled(docs, known).select("mark", "label", "text"))
+    marked = labelled(docs, known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)).withColumn("size", F.octet_length("text"))
     rows = bounded(marked, max_labelled, max_bytes)
     return fit([r["text"] for r in rows], [r["label"] for r in rows])
 
 
-def assess(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, threshold: float = 0.3, model: Model | None = None) -> DataFrame:
+def labelled(docs: DataFrame, known: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """(doc_id, label, mark, text) of all documents in `known`. Texts stay where they are: labels go out in broadcasts of about `most`, each with a scan of its own."""
+    parts = max(1, -(-known.count() // most))
+    own = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).where(~held_out(F.col("doc_id")))
+    pieces = [own.join(F.broadcast(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == k) if parts > 1 else known), "doc_id") for k in range(parts)]
+    return reduce(DataFrame.union, pieces).select("doc_id", "label", F.xxhash64("doc_id", "text").alias("mark"), "text")
+
+
+def _summed(batches, each, schema: pa.Schema, rows=lambda held: [(*k, *v) for k, v in held.items()], most: int = 200_000):
+    """Batches of the rows of the dictionary that `each(dictionary, batch)` fills, sent on whenever it has many keys."""
+
+    def sent():
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows(held)), schema)], schema.names)
+
+    held: dict = {}
+    for b in small(batches):
+        each(held, b)
+        if len(held) > most:
+            yield sent()
+            held.clear()
+    if held:
+        yield sent()
+
+
+def fit_whole(marked: DataFrame) -> Model:
+    """`fit` over all rows of `marked` (mark, label, text); rows of one mark are one. Neither texts nor counts of all words reach the driver."""
+    share = marked.sparkSession.sparkContext.broadcast
+    type_rows = pa.schema({"word": pa.string(), "mark": pa.int64()})
+    gram_rows = pa.schema({"past": pa.string(), "ch": pa.string(), "n": pa.int64()})
+    word_rows = pa.schema({"word": pa.binary(), "one": pa.int64(), "zero": pa.int64()})
+    like_rows = pa.schema({"features": pa.list_(pa.int32()), "label": pa.int32(), "n": pa.int64()})
+
+    def types(held, b):
+        for mark, text in zip(b.column("mark").to_pylist(), b.column("text")):
+            for w in words_of(text.as_py(), None, {}):
+                if w not in held:
+                    if type_of(w):
+                        held[w] = mark
+                elif held[w] != mark:
+                    held[w] = None  # in two documents
+
+    def typed(held):
+        return [(type_of(w), mark) for w, mark in held.items()]
+
+    def grams_of(held, b):
+        for k, n in grams(b.column("word").to_pylist()).items():
+            held[k] = (held.get(k, (0,))[0] + n,)
+
+    words = marked.select("mark", "text").mapInArrow(lambda bs: _summed(bs, types, type_rows, typed), "word string, mark long")
+    words = words.groupBy("word").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), F.max(F.col("mark").isNull()).alias("two"))
+    words = words.where("two or low < high").select("word")
+    counted = words.mapInArrow(lambda bs: _summed(bs, grams_of, gram_rows), "past string, ch string, n long")
+    chars = CharModel.counted(map(tuple, counted.groupBy("past", "ch").agg(F.sum("n")).collect()))
+    model = share(chars)
+
+    def restored(batches):
+        cache: dict = {}
+        for b in small(batches):
+            read = [zlib.compress(b" ".join(sorted(words_of(t.as_py(), model.value, cache))), 1) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("mark"), b.column("label"), pa.array(read, pa.binary())], ["mark", "label", "words"])
+
+    bags = durable(marked.mapInArrow(restored, "mark long, label int, words binary").dropDuplicates(["mark"]))
+    sizes = dict(map(tuple, bags.groupBy("label").count().collect()))
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    if not n1 or not n0:
+        return Model(chars, {}, 20.0 if n1 else -20.0)
+
+    def read_again(b):
+        return zip(b.column("label").to_pylist(), (stems(set(zlib.decompress(w).split())) for w in b.column("words").to_pylist()))
+
+    def tallied(held, b):
+        for label, found in read_again(b):
+            for w in found:
+                one, zero = held.get((w,), (0, 0))
+                held[(w,)] = (one + label, zero + 1 - label)
+
+    def chosen(batches):
+        for b in batches:
+            one, zero = (b.column(c).to_numpy(zero_copy_only=False) for c in ("one", "zero"))
+            yield b.filter(pa.array(clear(one, zero, n1, n0)))
+
+    tally = bags.mapInArrow(lambda bs: _summed(bs, tallied, word_rows), "word binary, one long, zero long")
+    tally = tally.groupBy("word").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
+    vocab = sorted((bytes(w), one + zero) for w, one, zero in tally.mapInArrow(chosen, "word binary, one long, zero long").collect())
+    number = share({w: i for i, (w, _) in enumerate(vocab)})
+
+    def patterned(held, b):
+        at = number.value
+        for label, found in read_again(b):
+            k = (tuple(sorted(at[w] for w in at.keys() & found)), label)
+            held[k] = (held.get(k, (0,))[0] + 1,)
+
+    # Documents with the same telling words and label count together.
+    alike = bags.mapInArrow(lambda bs: _summed(bs, patterned, like_rows), "features array<int>, label int, n long")
+    alike = durable(alike.groupBy("features", "label").agg(F.sum("n").alias("n")))
+    alike = alike.coalesce(max(1, min(marked.sparkSession.sparkContext.defaultParallelism, alike.count() // 20_000)))
+
+    def summed(at):
+        def run(batches):
+            total = np.zeros(len(at) + 1, np.int64)
+            for b in batches:
+                f = b.column("features")
+                label, n = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("label", "n"))
+                total += slope(f.flatten().to_numpy(zero_copy_only=False), np.diff(f.offsets.to_numpy()), label, n, at)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+        return np.sum([np.frombuffer(r["total"], np.int64) for r in alike.mapInArrow(run, "total binary").collect()], axis=0)
+
+    at = climb(summed, np.array([n for _, n in vocab]), n1, n0)
+    return Model(chars, dict(zip((w for w, _ in vocab), at[:-1].tolist())), float(at[-1]))
+
+
+def assess(docs: DataFrame, labels: DataFrame, max_labelled: int | None = None, threshold: float = 0.3, model: Model | None = None) -> DataFrame:
     """Score every whole text of `docs`: doc_id, held_out, score, predicted."""
     model = docs.sparkSession.sparkContext.broadcast(model or train(docs, labels, max_labelled))
 
