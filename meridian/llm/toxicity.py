@@ -463,7 +463,7 @@ def assess(docs: DataFrame, labels: DataFrame, max_labelled: int | None = None,
     return fed.mapInArrow(run, SCHEMA)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, threshold: float = 0.3) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, max_labelled: int | None = None, threshold: float = 0.3) -> DataFrame:
     """`docs` without the documents whose score reaches the threshold, all columns as they are."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_labelled))
 

@@ -54,3 +54,13 @@ def test_labels_of_one_kind_or_none(spark, planted):
     few = docs.limit(50)
     for known, near in ((labels.where("toxic = 1"), 1.0), (labels.where("toxic = 0"), 0.0), (labels.limit(0), 0.0)):
         assert {round(r["score"], 6) for r in toxicity.assess(few, known).collect()} == {near}
+
+
+def test_pipeline_drops_what_late_labels_tell(spark, planted, tmp_path):
+    import corpus_pipeline
+
+    docs, labels, late = planted
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    new = spark.createDataFrame([(ROWS + 1, "what a numpty"), (ROWS + 2, "what a day")], "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.toxicity_stage(spark, docs.union(new), str(tmp_path)).collect()}
+    assert ROWS + 2 in kept and ROWS + 1 not in kept and not late & kept
