@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import re
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,8 +52,8 @@ def cf_time(raw: Column, units: str, calendar: str = "standard") -> Column:
     return from_micros(micros(base) + F.round(raw.cast("double") * UNIT_MICROS[m[1].lower()]).cast("long"))
 
 
-def cf_micros(values: list, units: str, calendar: str = "standard") -> list[int] | None:
-    """Instants (microseconds since 1970) of a short axis of raw values, on the driver; None where `cf_time` would be null."""
+def cf_micros(values: np.ndarray, units: str, calendar: str = "standard") -> np.ndarray | None:
+    """Instants (microseconds since 1970) of raw values of an axis; None where `cf_time` would be null. A value that is no number is an error."""
     m = re.fullmatch(r"\s*(\w+?)s?\s+since\s+(.+?)\s*", units)
     if calendar.lower() not in ("standard", "gregorian", "proleptic_gregorian") or not m or m[1].lower() not in UNIT_MICROS:
         return None
@@ -61,7 +62,29 @@ def cf_micros(values: list, units: str, calendar: str = "standard") -> list[int]
     except ValueError:
         return None
     start = (base - datetime.datetime(1970, 1, 1)) // datetime.timedelta(microseconds=1)
-    return [start + round(v * UNIT_MICROS[m[1].lower()]) for v in values]
+    values = np.asarray(values)
+    if values.dtype.kind == "f" and not np.isfinite(values).all():
+        raise ValueError("a time that is no number")
+    scaled = values.astype("f8" if values.dtype.kind == "f" else "i8") * UNIT_MICROS[m[1].lower()]
+    return start + np.rint(scaled).astype("i8")
+
+
+def latest(stretches, instants) -> np.ndarray:
+    """Position of the latest time at or before each instant (the first of equal ones), -1 for instants that the times do not span.
+
+    The times, in any order, come as (position of the first, array) a stretch at a time."""
+    instants = np.asarray(instants, "i8")
+    best, at = np.full(len(instants), np.iinfo("i8").min), np.full(len(instants), -1)
+    low, high = np.iinfo("i8").max, np.iinfo("i8").min
+    for start, times in stretches:
+        if not len(times):
+            continue
+        values, first = np.unique(times, return_index=True)
+        spot = np.searchsorted(values, instants, side="right") - 1
+        newer = (spot >= 0) & (values[spot] > best)
+        best[newer], at[newer] = values[spot[newer]], start + first[spot[newer]]
+        low, high = min(low, values[0]), max(high, values[-1])
+    return np.where((instants >= low) & (instants <= high), at, -1)
 
 
 def mod1(index: Column, n: Column) -> Column:

@@ -8,19 +8,25 @@ import os
 from collections import OrderedDict
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.times import cf_micros
+from ..functions.times import cf_micros, from_micros, latest, micros
 from ..operators import cadence
+from ..operators.order import durable
 from ..sources import cache, netcdf, objects
+from ..sources.codecs import Unsupported
 from ..sources.errors import MeridianError, OutOfRange, UnknownOption
 from ..sources.files import FORMATS
 from ..sources.zarr import ZARR_OPTIONS, ZarrSource, array_shape, read_axis
 
 EPOCH = datetime.datetime(1970, 1, 1)
 ACCESS = ("cached", "direct")
+BRACKET_TIME = {"units": "seconds since 1970-01-01T00:00:00Z", "calendar": "standard"}
+UNREACHABLE = (MeridianError, OSError, ValueError, KeyError, PySparkException)  # no successor then
 
 
 def naive(t: datetime.datetime) -> datetime.datetime:
@@ -28,6 +34,10 @@ def naive(t: datetime.datetime) -> datetime.datetime:
     return t.astimezone(datetime.timezone.utc).replace(tzinfo=None) if t.tzinfo else t
 
 
+def since(t: datetime.datetime) -> int:
+    return (t - EPOCH) // datetime.timedelta(microseconds=1)
+
+
 @dataclass(frozen=True)
 class Cadence:
     """records_per_sample: None for whole files, 1 for the record at an instant, 2 for it and its successor."""
@@ -179,7 +189,7 @@ class Provider:
         d = self.source.cadence.time_dim
         return [f"pos_{d}", d] if self.supports_selection else [f"{d}_idx", d]
 
-    def _times(self, url: str) -> tuple[int, list[int] | None]:
+    def _times(self, url: str) -> tuple[int, np.ndarray | None]:
         """Length of a file's time axis and its instants in microseconds (None if they cannot be decoded). Two files are remembered."""
         if url not in self._recent:
             d = self.source.cadence.time_dim
@@ -188,9 +198,9 @@ class Provider:
                 n = len(values) if values is not None else self._length(url, d)
             else:
                 nc = netcdf.open_file(objects.files(self.spark, self._located(url))[0])
-                n = next((k or nc.records for name, k in nc.dims if name == d), 0)
+                n = nc.length(d)
                 values, attrs = (nc.read(d), nc.vars[d][1]) if d in nc.vars else (None, {})
-            self._recent[url] = n, None if values is None else cf_micros(values.tolist(), str(attrs.get("units", "")), str(attrs.get("calendar", "standard")))
+            self._recent[url] = n, None if values is None else cf_micros(values, str(attrs.get("units", "")), str(attrs.get("calendar", "standard")))
             while len(self._recent) > 2:
                 self._recent.popitem(last=False)
         self._recent.move_to_end(url)
@@ -208,11 +218,8 @@ class Provider:
     def _index(self, url: str, anchor, file_anchor) -> int:
         """The latest record at or before the anchor on the file's own times if they span it (the first of equal ones), else the offset."""
         _, times = self._times(url)
-        at = (anchor - EPOCH) // datetime.timedelta(microseconds=1)
-        if times and min(times) <= at <= max(times):
-            best = max(x for x in times if x <= at)
-            return times.index(best)
-        return (anchor - file_anchor) // self.source.cadence.step
+        found = int(latest([] if times is None else [(0, times)], [since(anchor)])[0])
+        return found if found >= 0 else (anchor - file_anchor) // self.source.cadence.step
 
     def _record(self, url: str, index: int, select=None) -> DataFrame:
         n, _ = self._times(url)
@@ -241,8 +248,8 @@ class Provider:
                     index = self._index(next_url, after, next_file)
                     if 0 <= index < self._times(next_url)[0]:
                         two = self._record(next_url, index, select)
-            except (MeridianError, OSError, ValueError, KeyError, PySparkException):
-                two = None  # no successor can be reached
+            except UNREACHABLE:
+                two = None
         if two is None:
             after, two = anchor, one
         first, time = self._time_columns()
@@ -253,7 +260,56 @@ class Provider:
             return df.withColumn(first, F.lit(k).cast("int")).withColumn(time, F.lit((t - EPOCH).total_seconds()))
 
         out = placed(one, 0, anchor).unionByName(placed(two, 1, after))
-        return out.withMetadata(time, {"units": "seconds since 1970-01-01T00:00:00Z", "calendar": "standard"})
+        return out.withMetadata(time, BRACKET_TIME)
+
+    def refresh_all(self, asked: DataFrame, at: str) -> DataFrame:
+        """What `refresh` gives at every instant of the column `at`, in one job: `at`, the tick (anchor), then the columns of `refresh`. No state changes.
+
+        Instants are dealt out by the file that holds them; a task searches its time axis a stretch at a time and reads only the records
+        that are asked for. This is for NetCDF records read at their address, one file an address; rows without an instant give none.
+        """
+        c, s = self.source.cadence, self.source
+        if c is None or not c.records_per_sample or s.format != "netcdf" or self.store_access != "direct":
+            raise Unsupported("many instants at once: only for records of NetCDF files that are read directly")
+
+        def locate(batches):
+            for pdf in batches:
+                anchors = [c.snap(EPOCH + datetime.timedelta(microseconds=us), c.step) for us in pdf["at"].tolist()]
+                yield pdf.assign(anchor=list(map(since, anchors)), url=[s.resolve(c.snap(a, c.file_period)) for a in anchors])
+
+        when = asked.where(F.col(at).isNotNull()).select(micros(F.col(at)).alias("at"))
+        located = durable(when.mapInPandas(locate, "at long, anchor long, url string"))
+        n, first = located.agg(F.count_distinct("url"), F.min_by("url", "anchor")).first()
+        if not n:
+            raise ValueError("no instants")
+        head = netcdf.open_file(first)
+        layout = netcdf.Layout.of(head, **({"variables": list(s.variables)} if s.variables else {}) | s.options)
+        temporal, pair = c.time_dim in layout.dims, c.records_per_sample == 2
+        gone = [] if not temporal else [f"{c.time_dim}_idx", c.time_dim]
+        columns = [(k, t) for k, t in layout.columns if k not in gone]
+        if temporal and pair:
+            columns += [(gone[0], "int"), (gone[1], "double")]
+
+        def bring(batches):
+            kept, size = [], 0
+            for pdf in batches:
+                for url, rows in pdf.groupby("url", sort=False):
+                    for part in _current(c, s, layout, url, rows):
+                        kept.append(part[["at", "anchor", *[k for k, _ in columns]]])
+                        size += len(part)
+                        if size >= 1 << 16:  # cells
+                            yield pd.concat(kept, ignore_index=True)
+                            kept, size = [], 0
+            if kept:
+                yield pd.concat(kept, ignore_index=True)
+
+        dealt = located.repartition(netcdf.dealt_over(n), "url").sortWithinPartitions("url", "anchor")
+        got = dealt.mapInPandas(bring, "at long, anchor long, " + ", ".join(f"`{k}` {t}" for k, t in columns))
+        out = objects.with_nan(got).select(from_micros(F.col("at")).alias(at), from_micros(F.col("anchor")).alias("anchor"), *[f"`{k}`" for k, _ in columns])
+        for d in layout.coords:
+            if d not in gone:
+                out = out.withMetadata(d, {k: v for k, v in head.vars[d][1].items() if k in ("units", "calendar")})
+        return out.withMetadata(c.time_dim, BRACKET_TIME) if temporal and pair else out
 
     # schedule
 
@@ -294,3 +350,61 @@ class Provider:
             return None
         c = self.source.cadence
         return array_shape(self.source.resolve(c.start if c else None), variable if variable is not None else self.source.options.get("variable", ""))
+
+
+def _current(c: Cadence, source: Source, layout: netcdf.Layout, url: str, rows: pd.DataFrame):
+    """The cells current at instants that one file holds, for `Provider.refresh_all`: for each row (at, anchor) the record, or it and its successor."""
+    d, tick = c.time_dim, datetime.timedelta(microseconds=1)
+
+    def opened(address):
+        nc = netcdf.open_file(address)
+        netcdf.chosen(nc, layout.names)
+        return nc, nc.length(d)
+
+    def index(nc, address_anchor, anchors):
+        found = nc.current(d, list(map(since, anchors)))
+        return [int(k) if k >= 0 else (a - address_anchor) // c.step for k, a in zip(found, anchors)]
+
+    def record(nc, address, k):
+        if tuple(nc.dim_names(layout.names[0])) != layout.dims:
+            raise ValueError(f"{address}: dimensions {nc.dim_names(layout.names[0])}, not {list(layout.dims)}")
+        lead = nc.shape(layout.names[0])[0] if layout.dims else 1
+        if d not in layout.dims:
+            yield from layout.cells(nc, address, 0, lead)
+        elif layout.dims[0] == d:
+            yield from layout.cells(nc, address, k, min(k + 1, lead))
+        else:
+            for part in layout.cells(nc, address, 0, lead):
+                yield part[part[f"{d}_idx"] == k]
+
+    nc, n = opened(url)
+    anchors = [EPOCH + a * tick for a in rows["anchor"].tolist()]
+    file_anchor = c.snap(anchors[0], c.file_period)
+    ahead: dict = {}  # the successor in the next file, which all brackets at the end of this one share
+    for at, anchor, low in zip(rows["at"].tolist(), anchors, index(nc, file_anchor, anchors)):
+        if n and not 0 <= low < n:
+            raise OutOfRange(f"record {low} of {n} in {url}")
+        places = [(anchor, nc, url, low)]
+        if c.records_per_sample == 2 and d in layout.dims:
+            after, two = anchor + c.step, None
+            if c.end is None or after < c.end:
+                if low + 1 < n:
+                    two = (after, nc, url, low + 1)
+                else:
+                    if after not in ahead:
+                        ahead[after] = None
+                        try:
+                            next_file = c.snap(after, c.file_period)
+                            next_url = source.resolve(next_file)
+                            later, m = opened(next_url)
+                            k = index(later, next_file, [after])[0]
+                            ahead[after] = (after, later, next_url, k) if 0 <= k < m else None
+                        except UNREACHABLE:
+                            pass
+                    two = ahead[after]
+            places.append(two or places[0])
+        for k, (t, holder, address, spot) in enumerate(places):
+            for part in record(holder, address, spot):
+                if len(places) == 2:
+                    part = part.assign(**{f"{d}_idx": k, d: (t - EPOCH).total_seconds()})
+                yield part.assign(at=at, anchor=since(anchor))

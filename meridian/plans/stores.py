@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decode, times
 from ..operators import select
-from ..operators.order import numbered, scratch
+from ..operators.order import durable, scratch
 from ..sources import cache, codecs, files, netcdf, objects, requests, settings, zarr, zarr_sink
 from ..streaming.ticks import TickSource
 from . import encoders
@@ -248,26 +248,26 @@ def fetch_cache(spark, pages):
     return asked.join(got, "url").join(held, "key").select("page_id", "status", "ok", "bytes")
 
 
-def _daily(spark, events) -> tuple[str, list]:
+def _daily(spark, events) -> str:
     """Events by day as NetCDF files: a CF time axis in order, and the value of each record."""
 
     def encode(pdf):
-        pdf = pdf.sort_values("n")
+        pdf = pdf.sort_values(["us", "event_id"])
         axis = (pdf["us"].to_numpy() / 1e6).astype(">f8")
         return encoders.netcdf({"time": 0}, {"time": (["time"], axis, {"units": "seconds since 1970-01-01 00:00:00", "calendar": "standard"}), "value": (["time"], pdf["value"].to_numpy(">f8"), {}), "event": (["time"], pdf["event_id"].to_numpy(">f8"), {})})
 
-    rows = numbered(events.select("ts", "event_id", "value"), "ts", "event_id")
-    rows = rows.select(F.date_format("ts", "yyyyMMdd").alias("file"), times.micros(F.col("ts")).alias("us"), "event_id", "value", F.col("__index").alias("n"))
-    folder = encoders.write_groups(rows, "file", _folder(spark, "daily"), "nc", encode)
-    days = [datetime.datetime.strptime(r[0], "%Y%m%d") for r in rows.select("file").distinct().orderBy("file").collect()]  # one row a file
-    return folder, days
+    rows = events.where("ts is not null").select(F.date_format("ts", "yyyyMMdd").alias("file"), times.micros(F.col("ts")).alias("us"), "event_id", "value")
+    return encoders.write_groups(rows, "file", _folder(spark, "daily"), "nc", encode)
 
 
 def _provider(spark, events, records: int):
-    folder, days = _daily(spark, events)
+    """A provider of the daily files, and half past noon of every day that has one."""
+    days = durable(events.where("ts is not null").select(F.col("ts").cast("date").alias("day")).distinct())
+    first, last = days.agg(F.min(F.col("day").cast("timestamp_ntz")), F.max(F.col("day").cast("timestamp_ntz"))).first()
     day = datetime.timedelta(days=1)
-    c = Cadence(days[0], datetime.timedelta(hours=12), day, days[-1] + 2 * day, records_per_sample=records)
-    return Provider(spark, Source("daily", "netcdf", folder + "/%Y%m%d.nc", c, variables=("event", "value")), window=(days[0], days[-1] + day)), days
+    c = Cadence(first, datetime.timedelta(hours=12), day, last + 2 * day, records_per_sample=records)
+    p = Provider(spark, Source("daily", "netcdf", _daily(spark, events) + "/%Y%m%d.nc", c, variables=("event", "value")), window=(first, last + day))
+    return p, days.select((F.col("day").cast("timestamp_ntz") + F.expr("INTERVAL '12:30' HOUR TO MINUTE")).alias("at"))
 
 
 _NOON = "(SELECT DISTINCT CAST(ts AS DATE) AS day, CAST(ts AS DATE) + INTERVAL '12 hours' AS noon FROM events)"
@@ -276,13 +276,8 @@ _NOON = "(SELECT DISTINCT CAST(ts AS DATE) AS day, CAST(ts AS DATE) + INTERVAL '
 @query(f"SELECT d.noon AS anchor, CAST(e.event_id AS DOUBLE) AS event, e.value FROM {_NOON} d ASOF JOIN (SELECT CAST(ts AS DATE) AS day, ts, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY ALL) e ON e.day = d.day AND d.noon >= e.ts", "events")
 def provider_record(spark, events):
     """The record current at noon of every day, sliced out of that day's file by its own time axis."""
-    p, days = _provider(spark, events, 1)
-    out = None
-    for day in days:
-        t = day + datetime.timedelta(hours=12, minutes=30)
-        one = p.refresh(t)[0].select(F.lit(day + datetime.timedelta(hours=12)).cast("timestamp_ntz").alias("anchor"), "event", "value")
-        out = one if out is None else out.unionByName(one)
-    return out
+    p, asked = _provider(spark, events, 1)
+    return p.refresh_all(asked, "at").select("anchor", "event", "value")
 
 
 @query(
@@ -295,21 +290,14 @@ def provider_record(spark, events):
 )
 def provider_bracket(spark, events):
     """The record current at noon of every day and its successor, with the instants of both ticks as their coordinate."""
-    p, days = _provider(spark, events, 2)
-    out = None
-    for day in days:
-        noon = day + datetime.timedelta(hours=12)
-        one = p.refresh(noon + datetime.timedelta(minutes=30))[0].select(F.lit(noon).cast("timestamp_ntz").alias("anchor"), "time_idx", "time", "event", "value")
-        out = one if out is None else out.unionByName(one)
-    return out
+    p, asked = _provider(spark, events, 2)
+    return p.refresh_all(asked, "at").select("anchor", "time_idx", "time", "event", "value")
 
 
 @query("SELECT strftime(ts, '%Y%m%d') AS file, count(*) AS n_records FROM events GROUP BY 1", "events")
 def time_lengths(spark, events):
     """How many records each daily file holds, from its header."""
-    folder, days = _daily(spark, events)
-    rows = [(f"{d:%Y%m%d}", netcdf.time_length(spark, f"{folder}/{d:%Y%m%d}.nc")) for d in days]  # one row a file
-    return spark.createDataFrame(rows, "file string, n_records long")
+    return netcdf.time_lengths(spark, _daily(spark, events)).select(F.regexp_extract("path", r"([^/]*)\.nc$", 1).alias("file"), "n_records")
 
 
 @query(
