@@ -2,6 +2,7 @@
 
 import datetime
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +94,16 @@ def test_the_plan_does_not_grow_with_the_files(spark, tmp_path, name):
         assert df.count() == days * (2 if name == "provider_bracket" else 1)
         sizes.append(df._jdf.queryExecution().optimizedPlan().toString().count("\n"))
     assert sizes[0] == sizes[1]
+
+
+@pytest.mark.parametrize("name", ["provider_record", "provider_bracket"])
+def test_repeated_instants_missing_days_and_events_without_time(spark, tmp_path, name):
+    events = spark.read.parquet(f"{SF}/events.parquet").where("dayofmonth(ts) not in (5, 6)")
+    twice = events.unionByName(events.withColumn("event_id", F.col("event_id") + 1000).withColumn("value", -F.col("value")))
+    twice.unionByName(events.limit(1).withColumn("ts", F.lit(None).cast("timestamp_ntz"))).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(catalog.SQL[name])
+    names = [c[0] for c in want.description]
+    found = want.fetchall()
+    assert len(found) >= 28 and rows(catalog.Q[name](spark, str(tmp_path)), names) == sorted(found)
