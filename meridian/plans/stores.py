@@ -244,7 +244,7 @@ def fetch_cache(spark, pages):
     place = base if "://" in base else f"file://{base.removeprefix('file:')}"
     asked = pages.select("page_id", F.concat(F.lit(place + "/"), F.col("page_id").cast("string"), F.lit(".html")).alias("url"))
     got = cache.fetch(asked.select("url"), root)
-    held = cache.verify(spark, root).join(cache.manifests(spark, root).select("key", "bytes"), "key")
+    held = cache.verify(spark, root, got)
     return asked.join(got, "url").join(held, "key").select("page_id", "status", "ok", "bytes")
 
 

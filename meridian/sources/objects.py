@@ -81,6 +81,20 @@ def put_stream(base: str, key: str, pieces, check=None) -> tuple[str, int]:
     return sha.hexdigest(), size
 
 
+def digest(base: str, key: str) -> tuple[str, int] | None:
+    """(SHA-256, size) of an object, read piece by piece; None if it is not there."""
+    system, root = open_base(base)
+    sha, size = hashlib.sha256(), 0
+    try:
+        with system.open_input_stream(f"{root}/{key}") as f:
+            while piece := f.read(1 << 20):
+                sha.update(piece)
+                size += len(piece)
+    except FileNotFoundError:
+        return None
+    return sha.hexdigest(), size
+
+
 def delete(base: str, key: str) -> bool:
     """Remove an object; whether it was there."""
     system, root = open_base(base)
